@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import fingerprint_index, repeats
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), text=False)
+
+
+QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
