@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint_index, repeats
+from . import decontaminate, fingerprint_index, jaccard_join, language, pack, repeats
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs, language.fit(docs.where(language.fold(3) != 1)))
+    return found.select("doc_id", (language.fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_index.remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), text=False)
+    return fingerprint_index.remove_repeated_words(table(spark, sf_dir, "documents"), text=False)
 
 
-QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_ngram_jaccard_join, op4_packing, op8_language_id, op9_suffix_array_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
