@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint_index, jaccard_join, language, pack, repeats
+from . import decontaminate, embedding_dedup, fingerprint_index, jaccard_join, language, lm_score, pack, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_score.score(docs, docs.where(language.fold(5) != 1))
+    return found.select("doc_id", (language.fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.predict(docs, language.fit(docs.where(language.fold(3) != 1)))
@@ -37,5 +47,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.remove_repeated_words(table(spark, sf_dir, "documents"), text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_ngram_jaccard_join, op4_packing, op8_language_id, op9_suffix_array_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_ngram_jaccard_join, op4_packing, op5_lm_scoring, op6_embedding_near_dedup, op8_language_id, op9_suffix_array_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
