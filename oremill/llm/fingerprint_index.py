@@ -249,11 +249,11 @@ def verify(window: int):
 class FingerprintIndex:
     """Immutable runs of fingerprints, oldest first; `add` matches and takes in a batch."""
 
-    def __init__(self, spark, window: int = WINDOW, gram: int = GRAM, group: int = GROUP):
+    def __init__(self, spark, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, n_buckets: int = 256):
         if window < gram:
             raise ValueError("a window is as long as a gram at least")
         self.spark, self.window, self.gram, self.group = spark, window, gram, group
-        self.n, self.tables = buckets(spark), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.n, self.tables = n_buckets, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[tuple[int, str]] = []
         self.stage, self.name = Stage(spark), f"oremill_run_{uuid.uuid4().hex}"
         self.made = 0
@@ -294,7 +294,7 @@ class FingerprintIndex:
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4, group: int = GROUP) -> DataFrame:
     """(doc_id, start, stop) in words: windows whose words also stand elsewhere.  The documents go through a
     new index in `batches` parts (by a hash of doc_id)."""
-    index = FingerprintIndex(docs.sparkSession, window, gram, group)
+    index = FingerprintIndex(docs.sparkSession, window, gram, group, buckets(docs))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches))
     found = [index.add(docs.where(part == b)) for b in range(batches)]
     index.close()

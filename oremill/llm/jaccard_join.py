@@ -32,6 +32,8 @@ from .repeats import dealt, with_lists
 from .shared import Stage, binary_text, buckets
 
 SHORT = 128
+#: Tokens that a task holds before it sends them.
+FLUSH = 1_000_000
 #: Texts of a family that meet in one block.
 BLOCK = 256
 ORDERS = 3
@@ -56,6 +58,14 @@ def unpacked(bodies, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(g) if g else np.zeros(0, k) for g, k in zip(got, kinds)]
 
 
+def merged(bodies, extras) -> list[tuple[int, bytes, bytes]]:
+    """One row for each bucket, from (bucket, bytes) of both kinds."""
+    rows = {b: [x, b""] for b, x in bodies}
+    for b, x in extras:
+        rows.setdefault(b, [b"", b""])[1] = x
+    return [(b, *x) for b, x in rows.items()]
+
+
 def blobs(rows) -> pa.RecordBatch:
     bucket, body, extra = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary())], ["bucket", "body", "extra"])
@@ -99,6 +109,14 @@ def send_tokens(size: int, num: int, den: int, n_buckets: int):
 
     def run(batches):
         seen: set[bytes] = set()
+        held: list[tuple] = []
+
+        def flush():
+            t, doc, kind, base = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            tokens = ((k, packed(t[x], doc[x], kind[x])) for k, x in dealt(t, n_buckets, np.arange(len(t))))
+            return blobs(merged(tokens, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
+
         for batch in batches:
             data, off = A.column_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -127,9 +145,11 @@ def send_tokens(size: int, num: int, den: int, n_buckets: int):
                 pick = np.concatenate([np.flatnonzero(short), np.flatnonzero(long & low), np.flatnonzero(high)])
                 t = A.mix(np.concatenate([flat[short] ^ np.uint64(0x5851F42D4C957F2D), flat[long & low], flat[high]]))
                 kind = np.concatenate([np.zeros(int(short.sum()), np.uint8), np.ones(int((long & low).sum()), np.uint8), np.full(int(high.sum()), 2, np.uint8)])
-                rows = [(k, packed(t[x], ids[a:b][row[pick[x]]], kind[x]), b"") for k, x in dealt(t, n_buckets, np.arange(len(t)))]
-                rows += [(k, b"", x.tobytes()) for k, x in dealt(A.mix(ids[a:b].astype(np.uint64)), n_buckets, base)]
-                yield blobs(rows)
+                held.append((t, ids[a:b][row[pick]], kind, base))
+                if sum(len(h[0]) for h in held) >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -147,10 +167,9 @@ def count_tokens(n_buckets: int):
         df = np.repeat(size, size)
         keep = df > 1
         t, doc, kind, df = t[keep], doc[keep], kind[keep], df[keep].astype(np.uint32)
-        rows = [(k, packed(t[x], doc[x], kind[x], df[x]), b"") for k, x in dealt(A.mix(doc.astype(np.uint64)), n_buckets, np.arange(len(t)))]
         base = np.frombuffer(b"".join(extra), BASE)
-        rows += [(k, b"", x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base)]
-        yield blobs(rows)
+        tokens = ((k, packed(t[x], doc[x], kind[x], df[x])) for k, x in dealt(A.mix(doc.astype(np.uint64)), n_buckets, np.arange(len(t))))
+        yield blobs(merged(tokens, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
 
     return run
 
@@ -306,7 +325,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     if not 0 < num <= den:
         raise ValueError("the threshold lies above 0 and up to 1")
     spark = docs.sparkSession
-    stage, n = Stage(spark), buckets(spark)
+    stage, n = Stage(spark), buckets(docs)
     texts = binary_text(docs)
     sent = texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA).repartition("bucket")
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))

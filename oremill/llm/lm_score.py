@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .embedding_dedup import spherical_kmeans
-from .jaccard_join import BLOB_SCHEMA, blobs, column, packed, unpacked
+from .jaccard_join import BLOB_SCHEMA, FLUSH, blobs, column, merged, packed, unpacked
 from .repeats import dealt
 from .shared import Stage, binary_text, buckets
 
@@ -274,6 +274,14 @@ def send_scores(shared, n_buckets: int):
         keys, counts, of, w, log_total = shared.value
         gate = np.zeros(1 << 22, bool)
         gate[keys >> np.uint64(42)] = True
+        held: list[tuple] = []
+
+        def flush():
+            word, doc, tf, d = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            rare = ((k, packed(word[x], doc[x], tf[x])) for k, x in dealt(A.mix(word), n_buckets, np.arange(len(word))))
+            return blobs(merged(rare, ((k, x.tobytes()) for k, x in dealt(A.mix(d["doc"].astype(np.uint64)), n_buckets, d))))
+
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b, t in slices(batch):
@@ -303,10 +311,11 @@ def send_scores(shared, n_buckets: int):
                 word, row = word[order], row[order]
                 head = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1]))) if len(word) else np.zeros(0, int)
                 tf = np.diff(np.append(head, len(word))).astype(np.uint32)
-                word, doc = word[head], ids[a:b][row[head]]
-                out = [(k, packed(word[x], doc[x], tf[x]), b"") for k, x in dealt(A.mix(word), n_buckets, np.arange(len(word)))]
-                out += [(k, b"", x.tobytes()) for k, x in dealt(A.mix(d["doc"].astype(np.uint64)), n_buckets, d)]
-                yield blobs(out)
+                held.append((word[head], ids[a:b][row[head]], tf, d))
+                if sum(len(h[0]) for h in held) >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -340,10 +349,9 @@ def meet_counts(n_buckets: int):
         part = np.zeros(len(head), PART)
         if len(head):
             part["doc"], part["known"], part["sum"] = doc[head], np.add.reduceat(known.astype(np.int64), head), np.add.reduceat(value, head)
-        out = [(k, x.tobytes(), b"") for k, x in dealt(A.mix(part["doc"].astype(np.uint64)), n_buckets, part)]
         base = np.frombuffer(b"".join(extra), DOC)
-        out += [(k, b"", x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base)]
-        yield blobs(out)
+        sums = ((k, x.tobytes()) for k, x in dealt(A.mix(part["doc"].astype(np.uint64)), n_buckets, part))
+        yield blobs(merged(sums, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
 
     return run
 
@@ -370,7 +378,7 @@ def total_scores(tokens: int, types: int):
 def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs under a model of train."""
     spark = docs.sparkSession
-    stage, n = Stage(spark), buckets(spark)
+    stage, n = Stage(spark), buckets(train)
     texts = binary_text(train)
     counts = stage.write(texts.mapInArrow(count_words(n), BLOB_SCHEMA).repartition("bucket").mapInArrow(sum_buckets, BLOB_SCHEMA))
     words = counts.where(F.col("bucket") < PAIRS)

@@ -306,41 +306,52 @@ def compare_candidates(window: int):
     return run
 
 
-def cut_texts(kept: bool):
-    """Step 4: removed spans of each text and what is left of it."""
+def left_over(batch):
+    """Of each row with its list of spans: bytes, bytes removed, maximal removed runs (row, start, stop), and
+    what is left (bytes of all rows, offsets)."""
+    data, off = A.column_bytes(batch.column("text"))
+    row, x = list_rows(batch)
+    s = e = np.zeros(0, np.int64)
+    if len(row):  # spans of one text join where they touch; those of neighbouring texts must not
+        s, e = A.covered(off[row] + x["start"] + row, np.minimum(off[row] + x["stop"], off[row + 1]) + row)
+        s, e = s[e > s], e[e > s]
+    at = np.searchsorted(off + np.arange(len(off)), s, side="right") - 1
+    s, e = s - at, e - at
+    gone = np.zeros(len(data) + 1, np.int32)
+    np.add.at(gone, s, 1)
+    np.add.at(gone, e, -1)
+    keep = np.cumsum(gone[:-1]) == 0
+    koff = np.append(0, np.cumsum(keep))[off]
+    return np.diff(off), np.diff(off) - np.diff(koff), (at, s - off[at], e - off[at]), data[keep], koff
+
+
+def cut_digests(batches):
+    for batch in batches:
+        n, removed, (at, _, _), left, koff = left_over(batch)
+        sha = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(koff[:-1], koff[1:])]
+        spans = np.bincount(at, minlength=len(n)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(spans), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def cut_bytes(batches):
+    for batch in batches:
+        n, removed, (at, s, e), left, koff = left_over(batch)
+        runs = [[] for _ in range(len(n))]
+        for r, a, b in zip(at.tolist(), s.tolist(), e.tolist()):
+            runs[r].append({"start": a, "stop": b})
+        kept = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(koff.astype(np.int32)), pa.py_buffer(left)])
+        cols = [batch.column("doc_id"), pa.array(n), pa.array(removed), kept, pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "kept", "removed"])
+
+
+def cut_rows(names: list[str]):
+    """The rows with what is left of text (a character that lost some of its bytes goes), and n_removed."""
 
     def run(batches):
         for batch in batches:
-            data, off = A.column_bytes(batch.column("text"))
-            row, x = list_rows(batch)
-            stop = np.minimum(off[row] + x["stop"], off[row + 1]) if len(row) else np.zeros(0, np.int64)
-            # spans of one text join where they touch; those of neighbouring texts must not
-            s, e = A.covered(off[row] + x["start"] + row, stop + row) if len(row) else (np.zeros(0, np.int64),) * 2
-            ok = e > s
-            s, e = s[ok], e[ok]
-            at = np.searchsorted(off + np.arange(len(off)), s, side="right") - 1
-            s, e = s - at, e - at
-            gone = np.zeros(len(data) + 1, np.int32)
-            np.add.at(gone, s, 1)
-            np.add.at(gone, e, -1)
-            keep = np.cumsum(gone[:-1]) == 0
-            left = data[keep]
-            koff = np.append(0, np.cumsum(keep))[off]
-            n_removed = np.diff(off) - np.diff(koff)
-            n_spans = np.bincount(at, minlength=len(off) - 1)
-            cols = [batch.column("doc_id"), pa.array(np.diff(off)), pa.array(n_removed), pa.array(n_spans.astype(np.int64))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans"]
-            if kept:
-                kb = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(koff.astype(np.int32)), pa.py_buffer(left)])
-                starts = [[] for _ in range(len(off) - 1)]
-                for r, a, b in zip(at.tolist(), (s - off[at]).tolist(), (e - off[at]).tolist()):
-                    starts[r].append({"start": a, "stop": b})
-                cols += [kb, pa.array(starts, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
-                names += ["kept", "removed"]
-            else:
-                cols.append(pa.array([hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(koff[:-1], koff[1:])], pa.string()))
-                names.append("kept_sha256")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            _, removed, _, left, koff = left_over(batch)
+            text = pa.array([left[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(koff[:-1], koff[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch.column(c) for c in names), pa.array(removed)], [*names, "n_removed"])
 
     return run
 
@@ -351,7 +362,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP) -> Da
     if window < 16:
         raise ValueError("a window has 16 bytes at least")
     spark = docs.sparkSession
-    stage, n, gram = Stage(spark), buckets(spark), max(8, min(32, window // 3))
+    stage, n, gram = Stage(spark), buckets(docs), max(8, min(32, window // 3))
     texts = binary_text(docs)
     sent = texts.mapInArrow(send_fragments(window, gram, n), BLOB_SCHEMA).repartition("bucket")
     found = stage.write(sent.mapInArrow(settle_fragments(window, group), SPAN_SCHEMA))
@@ -364,13 +375,26 @@ def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP) -> Da
     return found.where("grp is null").select("doc_id", "start", "stop").unionByName(compared.where("h1 is null").select("doc_id", "start", "stop")).unionByName(later.select("doc_id", "start", "stop"))
 
 
+def with_spans(docs: DataFrame, window: int, group: int = GROUP, *keep: str) -> DataFrame:
+    return with_lists(binary_text(docs, *keep), repeated_spans(docs, window, group), ["start", "stop"], "left")
+
+
 def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, removed array<struct<start, stop>>) for each document."""
-    joined = with_lists(binary_text(docs), repeated_spans(docs, window), ["start", "stop"], "left")
-    return joined.mapInArrow(cut_texts(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, stop: long>>")
+    """(doc_id, n_bytes, n_removed, kept binary, removed array<struct<start, stop>>) for each document."""
+    return with_spans(docs, window).mapInArrow(cut_bytes, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: long, stop: long>>")
+
+
+def stripped(docs: DataFrame, window: int = 100) -> DataFrame:
+    """docs with all their columns, text cut to what is left, and n_removed (which replaces a column of that name)."""
+    docs = docs.drop("n_removed")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if "spans" in others:
+        raise ValueError("a column must not be named spans")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in others), "n_removed long"])
+    return with_spans(docs, window, GROUP, *others).mapInArrow(cut_rows(["doc_id", "text", *others]), schema)
 
 
 def repeat_report(docs: DataFrame, window: int = 100, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    joined = with_lists(binary_text(docs), repeated_spans(docs, window, group), ["start", "stop"], "left")
-    return joined.mapInArrow(cut_texts(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, window, group).mapInArrow(cut_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from oremill.llm.bwt import repeat_classes
-from oremill.llm.repeats import remove_repeats, repeat_report
+from oremill.llm.repeats import remove_repeats, repeat_report, stripped
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,5 +77,6 @@ def test_edges(spark):
     rows = [(None, t, "en", None, None), (1, t, None, "s", 3), (1, t, None, "s", 3), (2, t, "en", "s", 3), (3, None, None, None, None)]
     got = sorted(tuple(r)[:3] for r in repeat_report(spark.createDataFrame(rows, ROW)).collect())
     assert [g[0] for g in got] == [1, 1, 2, 3] and got[0] == got[1] and got[2][1] == got[2][2] and got[3] == (3, 0, 0)
-    more = remove_repeats(spark.createDataFrame(rows, ROW).withColumnRenamed("lang", "spans")).where("doc_id = 2").collect()[0]
+    assert [(r.doc_id, r.text, r.lang, r.n_removed) for r in stripped(spark.createDataFrame(rows[3:], ROW)).collect() if r.doc_id == 2] == [(2, t, "en", 0)]
+    more = remove_repeats(spark.createDataFrame(rows, ROW).withColumnRenamed("lang", "start")).where("doc_id = 2").collect()[0]
     assert more.kept == b"" and [tuple(x) for x in more.removed] == [(0, len(t))]
