@@ -1,8 +1,56 @@
-"""The corpus pipeline: five operators, each over what its predecessor kept."""
+"""The corpus pipeline: five operators, each over what its predecessor kept.
 
-STAGES: list = []
+Documents that language ID rejects go (no letter in them); of each group of near copies (five-word
+shingles, Jaccard 0.8) the one with the smallest doc_id stays; byte strings of 100 that started
+earlier are cut out, and a document that they made up wholly goes; documents that hold a
+benchmark window go; the rest is packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oremill.llm import decontaminate, jaccard_join, language, pack, repeats
+from oremill.llm.shared import Stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    found = language.labelled(docs, language.fit(docs)).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_components(docs, size=5, num=80, den=100)
+    first = groups.where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = repeats.stripped(docs.select(*COLUMNS)).where("n_removed = 0 or length(trim(text)) > 0")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack.pack(docs, with_ids=False)
+
+
+STAGES = [("language_id", language_id), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_strings), ("benchmark_decontamination", decontamination), ("packing", packing)]
+
+#: SQL cannot express these stages; `tests/llm/test_pipeline.py` holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, step in STAGES[:-1]:
+        docs = stage.write(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

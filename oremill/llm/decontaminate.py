@@ -216,6 +216,20 @@ def report_slice(shared):
     return run
 
 
+def clean_slice(shared):
+    """The rows without any window, where one slice holds the benchmark."""
+
+    def run(batches):
+        x: Windows = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, d, start, end, before, w in doc_slices(batch):
+                keep[a + meetings(x, d, start, end, before, w)[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def hit_rows(shared):
     """Spans (in words) and items of each document for one of several slices."""
 
@@ -251,11 +265,11 @@ def report_lists(batches):
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_LIMIT) -> DataFrame:
-    """The report of REPORT_SCHEMA for each document."""
+def prepared(texts: DataFrame, benchmark: DataFrame, width: int, limit: int) -> list:
+    """The benchmark's slices, as broadcasts with their prefixes chosen."""
     if width < 1:
         raise ValueError("a window has a word at least")
-    spark, texts = docs.sparkSession, binary_text(docs)
+    spark = texts.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = -(-int(total) // limit) or 1
@@ -269,7 +283,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit:
             counts[r.k] = r.c
         x.order(counts)
         parts.append(spark.sparkContext.broadcast(x))
-    if n == 1:
+    return parts
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_LIMIT) -> DataFrame:
+    """The report of REPORT_SCHEMA for each document."""
+    spark, texts = docs.sparkSession, binary_text(docs)
+    parts = prepared(texts, benchmark, width, limit)
+    if len(parts) == 1:
         return texts.mapInArrow(report_slice(parts[0]), REPORT_SCHEMA)
     hits = None
     for p in parts:
@@ -279,7 +300,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit:
     return with_lists(texts, hits, ["start", "stop", "item"], "left").mapInArrow(report_lists, REPORT_SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_LIMIT) -> DataFrame:
     """Documents that hold no window of the benchmark, with all their columns."""
-    bad = contamination(docs, benchmark, width).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    docs = docs.where("doc_id is not null")
+    parts = prepared(binary_text(docs), benchmark, width, limit)
+    if len(parts) == 1:
+        return docs.mapInArrow(clean_slice(parts[0]), docs.schema)
+    for p in parts:
+        docs = docs.mapInArrow(clean_slice(p), docs.schema)
+    return docs

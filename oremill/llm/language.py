@@ -183,3 +183,21 @@ def predict_rows(shared):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of each document, from its text alone."""
     return binary_text(docs).mapInArrow(predict_rows(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+
+
+def label_rows(shared, names: list[str]):
+    def run(batches):
+        predicted = predict_rows(shared)
+        for batch in batches:
+            (found,) = predicted(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found.column("lang_pred"), found.column("score")], [*names, "lang_pred", "score"])
+
+    return run
+
+
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with all their columns, and lang_pred and score (which replace columns of these names)."""
+    docs = docs.drop("lang_pred", "score").where("doc_id is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.mapInArrow(label_rows(shared, docs.columns), f"{schema}, lang_pred string, score double")
