@@ -113,10 +113,9 @@ def metis_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     lines = numbered_lines(spark, path)
     comment = F.startswith("line", F.lit("%")) | F.startswith("line", F.lit("#"))
-    head = lines.where(~comment).agg(F.min("no").alias("head"))
-    body = lines.join(head, F.col("no") > F.col("head")).select((F.col("no") - F.col("head")).cast("long").alias("id"), "line")
-    n = lines.join(head, F.col("no") == F.col("head")).select(F.split(F.trim("line"), " +")[0].cast("long").alias("n"))
-    body = body.join(n, F.col("id") <= F.col("n")).select("id", "line")
+    top = lines.where(~comment).agg(F.min("no").alias("head"), F.min_by("line", "no").alias("first")).where("head is not null")
+    top = top.select("head", F.split(F.trim("first"), " +")[0].cast("long").alias("n"))
+    body = lines.join(top, F.col("no") > F.col("head")).select((F.col("no") - F.col("head")).cast("long").alias("id"), "line", "n").where("id <= n")
     body = body.where(~comment)
     arcs = body.select(F.col("id").alias("u"), F.explode(F.filter(F.split("line", " "), lambda x: x != "")).alias("v"))
     return body.select("id"), arcs.select("u", F.trim("v").cast("long").alias("v"))
