@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from oremill.functions.hashing import PRIME, hash_family, md5_32
 from oremill.functions.saved import saved
+from oremill.functions.ship import ship
 
 
 def _hashed(text: str | None, k: int) -> np.ndarray:
@@ -27,6 +28,7 @@ def _hashed(text: str | None, k: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     want = d.sparkSession.sparkContext.defaultParallelism
     return d.repartition(want) if _few_parts(d, want) else d

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .graph import simple, triangle_count
 from oremill.functions.hashing import hash_order
+from oremill.functions.ship import ship
 
 
 class Reservoir:
@@ -124,6 +125,7 @@ def run_triest(edges: DataFrame, ms: list[int], variant: str = "base", seed: int
 
     The estimator is sequential by definition; the runs for several m go side by side.
     """
+    ship(edges.sparkSession)
     sizes = edges.sparkSession.createDataFrame([(m,) for m in ms], "m long")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

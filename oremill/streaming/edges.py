@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from oremill.functions.ship import ship
 from oremill.operators.triest import REPORT, Reservoir, Triest
 from oremill.sources.readers import parsed_edges
 
@@ -25,6 +26,7 @@ def triest_stream(edges: DataFrame, ms: list[int], variant: str = "base", seed:
     Every m is a key of its own with its own sample as state, at most m edges; edges with a `seq` column
     are taken in its order inside a micro-batch.
     """
+    ship(edges.sparkSession)
     ordered = "seq" in edges.columns
     keyed = edges.withColumn("m", F.explode(F.array(*(F.lit(m).cast("long") for m in ms))))
 
@@ -51,4 +53,5 @@ def reservoir_stream(rows: DataFrame, m: int, seed: int = 0) -> DataFrame:
         state.update((pickle.dumps(x),))
         yield pd.DataFrame({"slot": range(len(x.items)), "seen": x.seen, "item": x.items})
 
+    ship(rows.sparkSession)
     return rows.select("item").withColumn("one", F.lit(0)).groupBy("one").applyInPandasWithState(step, "slot long, seen long, item string", "state binary", "update", GroupStateTimeout.NoTimeout)
