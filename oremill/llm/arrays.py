@@ -13,7 +13,7 @@ import xxhash
 
 U64 = np.uint64
 #: Bytes of text that one slice holds at most; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words longer than this are hashed one at a time by xxh3.
 LONG_WORD = 512
 

@@ -3,7 +3,7 @@
 Each round replaces edges so that nodes hang on smaller neighbours; it ends when every node
 hangs on the smallest node of its component.  Rounds work on edges alone (an aggregation
 with map-side minima and a join that AQE can split), and are written to the shared folder.
-Edges of one task are first reduced to a spanning forest.
+Operators send spanning forests (`forest`) rather than all edges they find.
 """
 
 from __future__ import annotations
@@ -55,29 +55,12 @@ def edge_batch(g, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(g, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["g", "a", "b"])
 
 
-def _thin(batches):
-    held: list = []
-    size = 0
-
-    def flush():
-        return edge_batch(*forest(*(np.concatenate(c) for c in zip(*held))))
-
-    for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-        size += batch.num_rows
-        if size > 1_000_000:
-            yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
-
-
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(g, a, b): b is the smallest node of a's component in graph g, for every a but that node itself.
 
     edges: (g int, a long, b long); loops and repeated edges are allowed.
     """
-    e = stage.write(edges.select("g", "a", "b").mapInArrow(_thin, EDGE_SCHEMA).where("a <> b"))
+    e = stage.write(edges.select("g", "a", "b").where("a <> b"))
     while True:
         both = e.select("g", "a", "b").unionByName(e.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("g", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oremill.functions.ship import ship
+
 from .components import components, forest
 from .shared import Stage
 
@@ -189,6 +191,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
     if not 0 < cosine <= 1:
         raise ValueError("the cosine lies above 0 and up to 1")
+    ship(table.sparkSession)
     spark, stage = table.sparkSession, Stage(table.sparkSession)
     r = float(np.sqrt(max(2 - 2 * cosine, 0)))
     rows = table.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

@@ -25,7 +25,7 @@ from .shared import binary_text
 
 DIM = 4096
 #: Labelled rows the classifiers are fitted on at most.
-SAMPLE = 6000
+SAMPLE = 3000
 UNKNOWN = "und"
 
 _letter = np.full(256, 0x20, np.uint8)
@@ -68,15 +68,14 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 120, reg: float = 1e-4) -> np.ndarray:
     """Weights (with bias last) of squared-hinge machines: a column for each column of y (+1, -1, or 0: left out)."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     weight = np.zeros_like(y, np.float32)
     for s in (1, -1):  # both sides of a machine weigh the same
         weight += (y == s) / np.maximum((y == s).sum(0), 1)
-    w = v = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    w = v = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     rate, t = 0.2, 1.0
     for _ in range(steps):
-        gap = np.maximum(1 - y * (x @ v), 0)
-        new = v - rate * (reg * v - x.T @ (weight * y * gap))
+        pull = weight * y * np.maximum(1 - y * (x @ v[:-1] + v[-1]), 0)
+        new = v - rate * (reg * v - np.concatenate([x.T @ pull, pull.sum(0, keepdims=True)]))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
@@ -153,10 +152,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     level = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     part = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, share / counts[k]))))
     picked = binary_text(rows.where(level < part[F.col("lang")]), F.col("lang").cast("string").alias("lang"))
-    got = picked.mapInArrow(sample_rows, "lang string, x binary").collect()
-    langs = sorted({r.lang for r in got})
-    x = np.stack([np.frombuffer(r.x, np.uint16) for r in got]).astype(np.float32) / 65535 if got else None
-    return Model(langs, x, np.array([langs.index(r.lang) for r in got]))
+    names, x = [], np.zeros((2 * sample + 100, DIM), np.float32)
+    for r in picked.mapInArrow(sample_rows, "lang string, x binary").limit(len(x)).toLocalIterator():
+        x[len(names)] = np.frombuffer(r.x, np.uint16)
+        names.append(r.lang)
+    langs, x = sorted(set(names)), x[: len(names)]
+    x /= 65535
+    return Model(langs, x, np.array([langs.index(n) for n in names]))
 
 
 def predict_rows(shared):

@@ -34,9 +34,9 @@ from .winnow import FRAGMENT, fragments
 #: Fragments of one minimiser that are compared in one block.
 GROUP = 512
 #: Fragments that a task holds before it settles and sends them.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Bytes of candidates that one BWT covers.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPAN_SCHEMA = "doc_id long, start long, stop long, grp long, hot boolean, n int"
 BLOB_SCHEMA = "bucket int, body binary, spans binary"

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oremill.functions.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; in local mode only, one of our own where none is named."""
@@ -40,12 +42,20 @@ class Stage:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that Spark hands to Python at once; texts are long, and a batch is held twice on its way.
+BATCH_ROWS = 2000
+
+
 def binary_text(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the UTF-8 bytes of text (null: empty), and `keep`; rows without doc_id are left out.
 
     Two columns of one name (a clash from an earlier join) raise Spark's own ambiguity error
     only when they are doc_id or text; other columns are not read.
     """
+    ship(docs.sparkSession)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *keep)
 
 
