@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, fingerprint_index, jaccard_join, language, license_scan, lm_score, pack, repeats, url_filter
+from . import decontaminate, embedding_dedup, fingerprint_index, jaccard_join, language, license_scan, lm_score, oracles, pack, repeats, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,4 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filter, op3_ngram_jaccard_join, op4_packing, op5_lm_scoring, op6_embedding_near_dedup, op7_license_scan, op8_language_id, op9_suffix_array_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": oracles.OP1, "op2_url_filter": url_filter.ORACLE, "op3_ngram_jaccard_join": oracles.OP3,
+    "op6_embedding_near_dedup": oracles.OP6, "op9_suffix_array_dedup": oracles.OP9, "op10_substring_dedup": oracles.OP10,
+}
