@@ -48,9 +48,9 @@ def frequent_itemsets(trx: DataFrame, min_support: int, max_size: int | None = N
     k = 1
     while max_size is None or k < max_size:
         k += 1
-        c = candidates(level, k)
         longer = occ.select("items", "itemset", F.explode(F.filter("items", lambda v: v > F.element_at("itemset", -1))).alias("i")).select("items", F.concat("itemset", F.array("i")).alias("itemset"))
-        longer = longer.join(c, "itemset", "left_semi")
+        if k > 2:  # any two frequent items are a candidate
+            longer = longer.join(candidates(level, k), "itemset", "left_semi")
         level = saved(longer.groupBy("itemset").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).select(F.lit(k).alias("k"), "itemset", "support"))
         if level.isEmpty():
             break
