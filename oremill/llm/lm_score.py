@@ -3,8 +3,8 @@
 A word's probability is that of its class in its context times its share of the class:
 p(w | h) = p(class(w) | h) (c(w) + 0.5) / T(class).  A class is a group of word endings that
 follow similar words (spherical k-means on counts over all training tokens).  The class
-softmax has hashed n-gram features (the word before) and skip features (the word two before)
-and a bias; it is fitted to the counts of all training events by gradient updates that are
+softmax has n-gram features (the hashed ending of the word before), skip features (the class of
+the word two before) and a bias; it is fitted to the counts of all training events by gradient updates that are
 summed over the tasks holding the events, each step scaled by its feature's expected count.
 Each class keeps half a count for unknown words, so probabilities sum to one over the known
 words and one unknown word a class.
@@ -31,9 +31,9 @@ from .jaccard_join import BLOB_SCHEMA, FLUSH, blobs, column, merged, packed, unp
 from .repeats import dealt
 from .shared import Stage, binary_text, buckets
 
-CLASSES, ENDINGS, NEIGHBOURS = 32, 4096, 256
-#: Feature rows: hashed word before, hashed word two before, bias.
-BEFORE, SKIP = 4096, 256
+CLASSES, ENDINGS, NEIGHBOURS = 48, 4096, 256
+#: Feature rows: ending of the word before, class of the word two before (each with a row for none), bias.
+BEFORE, SKIP = ENDINGS + 1, CLASSES + 1
 FEATURES = BEFORE + SKIP + 1
 #: Words that are broadcast with their counts at most.
 FREQUENT = 1 << 17
@@ -64,8 +64,17 @@ class Tokens:
         self.two[self.at[:-1]] = START
         second = self.at[:-1][n > 0] + 1
         self.two[second] = START
-        self.one_row = (A.mix(self.one) % np.uint64(BEFORE)).astype(np.int64)
-        self.two_row = (A.mix(self.two ^ np.uint64(0x5BD1E995)) % np.uint64(SKIP)).astype(np.int64)
+        self.one_row, self.two_ending = context_endings(self.one), context_endings(self.two)
+
+
+def context_endings(word: np.ndarray) -> np.ndarray:
+    """The ending of a word of the context; ENDINGS where there is none."""
+    return np.where(word == START, ENDINGS, (word & np.uint64(ENDINGS - 1)).astype(np.int64))
+
+
+def skip_rows(of: np.ndarray) -> np.ndarray:
+    """The feature row of each ending two words before."""
+    return np.append(of[:-1], CLASSES)
 
 
 def slices(batch):
@@ -84,7 +93,7 @@ def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Counter:
     """Sums by key of what arrives in pieces."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20):
         self.keys, self.values, self.size, self.limit = [], [], 0, limit
 
     def add(self, key: np.ndarray, value: np.ndarray | None = None) -> bool:
@@ -188,9 +197,10 @@ def count_events(shared, n_buckets: int):
 
     def run(batches):
         of, events = shared.value, Counter()
+        skip = skip_rows(of)
         for batch in batches:
             for _, _, t in slices(batch):
-                if events.add(((t.one_row * SKIP + t.two_row) * CLASSES + of[t.ending]).astype(np.uint64)):
+                if events.add(((t.one_row * SKIP + skip[t.two_ending]) * CLASSES + of[t.ending]).astype(np.uint64)):
                     yield by_context(events, n_buckets)
         yield by_context(events, n_buckets)
 
@@ -272,6 +282,7 @@ def send_scores(shared, n_buckets: int):
 
     def run(batches):
         keys, counts, of, w, log_total = shared.value
+        skip = skip_rows(of)
         gate = np.zeros(1 << 22, bool)
         gate[keys >> np.uint64(42)] = True
         held: list[tuple] = []
@@ -288,11 +299,11 @@ def send_scores(shared, n_buckets: int):
                 n = np.diff(t.at)
                 d = np.zeros(b - a, DOC)
                 d["doc"], d["n"] = ids[a:b], n
-                cls = of[t.ending]
+                cls, two = of[t.ending], skip[t.two_ending]
                 lp = np.empty(len(cls))
                 for p in range(0, len(cls), 1 << 16):
                     q = slice(p, p + (1 << 16))
-                    z = class_probabilities(w, t.one_row[q], t.two_row[q])
+                    z = class_probabilities(w, t.one_row[q], two[q])
                     lp[q] = z[np.arange(len(z)), cls[q]]
                 d["model"] = np.add.reduceat(lp / np.log(10) - log_total[cls], t.at[:-1])
                 common = np.zeros(len(cls), bool)
