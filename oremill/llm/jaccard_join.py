@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,12 @@ from .shared import Stage, binary_text, buckets
 
 SHORT = 128
 #: Tokens that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: Texts of a family that meet in one block.
 BLOCK = 256
 ORDERS = 3
+#: Forests that are merged into one.
+FAN_IN = 16
 
 BASE = np.dtype([("doc", "<i8"), ("n", "<i4"), ("low", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("lead", "?")])
 BLOB_SCHEMA = "bucket int, body binary, extra binary"
@@ -230,10 +233,18 @@ def send_prefixes(num: int, den: int, n_buckets: int):
 
 
 def join_prefixes(batches):
+    """A spanning forest of each task's posting lists, packed; FAN_IN neighbouring tasks' meet next."""
     body, extra = column(batches, "body", "extra")
     (g, a, b), _ = stars(*unpacked(body, ["<i4", "<u8", "<i8"]))
     g2, a2, b2 = unpacked(extra, ["<i4", "<i8", "<i8"])
-    yield edge_batch(*forest(np.concatenate([g, g2]), np.concatenate([a, a2]), np.concatenate([b, b2])))
+    edges = forest(np.concatenate([g, g2]), np.concatenate([a, a2]), np.concatenate([b, b2]))
+    yield blobs([(TaskContext.get().partitionId() // FAN_IN, packed(*edges), b"")])
+
+
+def merge_forests(batches):
+    """One forest of several: a text that hangs on many tokens keeps an edge for each task here, not for each token."""
+    (body,) = column(batches, "body")
+    yield edge_batch(*forest(*unpacked(body, ["<i4", "<i8", "<i8"])))
 
 
 def base_rows(batches):
@@ -331,7 +342,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))
     base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, lead boolean")
     prefixes = counted.repartition("bucket").mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA).repartition("bucket")
-    groups = components(prefixes.mapInArrow(join_prefixes, EDGE_SCHEMA), stage)
+    forests = prefixes.mapInArrow(join_prefixes, BLOB_SCHEMA).repartition("bucket")
+    groups = components(forests.mapInArrow(merge_forests, EDGE_SCHEMA), stage)
     nodes = groups.unionByName(groups.select("g", F.col("b").alias("a"), "b").distinct())
     labels = nodes.groupBy(F.col("a").alias("doc_id")).agg(*(F.max(F.when(F.col("g") == o, F.col("b"))).alias(f"l{o}") for o in range(ORDERS)))
     labels = labels.dropna().select("doc_id", F.xxhash64(*(f"l{o}" for o in range(ORDERS))).alias("family"))
