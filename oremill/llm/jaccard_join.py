@@ -38,8 +38,8 @@ FLUSH = 300_000
 #: Texts of a family that meet in one block.
 BLOCK = 256
 ORDERS = 3
-#: Forests that are merged into one.
-FAN_IN = 16
+#: Bytes of input whose tasks' forests are merged into one.
+MERGED = 512 << 20
 
 BASE = np.dtype([("doc", "<i8"), ("n", "<i4"), ("low", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("lead", "?")])
 BLOB_SCHEMA = "bucket int, body binary, extra binary"
@@ -232,13 +232,17 @@ def send_prefixes(num: int, den: int, n_buckets: int):
     return run
 
 
-def join_prefixes(batches):
-    """A spanning forest of each task's posting lists, packed; FAN_IN neighbouring tasks' meet next."""
-    body, extra = column(batches, "body", "extra")
-    (g, a, b), _ = stars(*unpacked(body, ["<i4", "<u8", "<i8"]))
-    g2, a2, b2 = unpacked(extra, ["<i4", "<i8", "<i8"])
-    edges = forest(np.concatenate([g, g2]), np.concatenate([a, a2]), np.concatenate([b, b2]))
-    yield blobs([(TaskContext.get().partitionId() // FAN_IN, packed(*edges), b"")])
+def join_prefixes(n_groups: int):
+    """A spanning forest of each task's posting lists, packed; the forests of a group of tasks meet next."""
+
+    def run(batches):
+        body, extra = column(batches, "body", "extra")
+        (g, a, b), _ = stars(*unpacked(body, ["<i4", "<u8", "<i8"]))
+        g2, a2, b2 = unpacked(extra, ["<i4", "<i8", "<i8"])
+        edges = forest(np.concatenate([g, g2]), np.concatenate([a, a2]), np.concatenate([b, b2]))
+        yield blobs([(TaskContext.get().partitionId() % n_groups, packed(*edges), b"")])
+
+    return run
 
 
 def merge_forests(batches):
@@ -342,7 +346,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))
     base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, lead boolean")
     prefixes = counted.repartition("bucket").mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA).repartition("bucket")
-    forests = prefixes.mapInArrow(join_prefixes, BLOB_SCHEMA).repartition("bucket")
+    forests = prefixes.mapInArrow(join_prefixes(buckets(docs, MERGED, 1, 1 << 20)), BLOB_SCHEMA).repartition("bucket")
     groups = components(forests.mapInArrow(merge_forests, EDGE_SCHEMA), stage)
     nodes = groups.unionByName(groups.select("g", F.col("b").alias("a"), "b").distinct())
     labels = nodes.groupBy(F.col("a").alias("doc_id")).agg(*(F.max(F.when(F.col("g") == o, F.col("b"))).alias(f"l{o}") for o in range(ORDERS)))

@@ -59,8 +59,7 @@ def binary_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *keep)
 
 
-def buckets(docs: DataFrame, each: int = 2 << 20) -> int:
-    """How many hash buckets to deal a table's rows into: one for each 2 MiB of it as Spark estimates its size,
-    64 at least and 65536 at most."""
+def buckets(docs: DataFrame, each: int = 2 << 20, least: int = 64, most: int = 1 << 16) -> int:
+    """How many hash buckets to deal a table's rows into: one for `each` bytes of it as Spark estimates its size."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 16, max(64, size // each))
+    return min(most, max(least, size // each))
