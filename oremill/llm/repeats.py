@@ -260,7 +260,9 @@ def compare_block(c: np.ndarray, data: np.ndarray, begin: np.ndarray, window: in
     idx = idx[np.lexsort((pos[idx], c["doc"][own[idx]], cls[idx]))]
     first = np.ones(len(idx), bool)
     first[1:] = cls[idx[1:]] != cls[idx[:-1]]
-    late, lead = idx[~first], idx[first]
+    lead = idx[first]
+    leader = lead[np.cumsum(first) - 1]  # rows that share a doc_id may hold a window at its own place once more
+    late = idx[(c["doc"][own[idx]] != c["doc"][own[leader]]) | (pos[idx] != pos[leader])]
     lead = lead[hot[lead]]
     text = (s - 1).astype(np.uint8)
     dig = [xxhash.xxh3_128_digest(text[p : p + window]) for p in where[lead]]
@@ -268,6 +270,23 @@ def compare_block(c: np.ndarray, data: np.ndarray, begin: np.ndarray, window: in
     return (c["doc"][own[late]], pos[late]), (c["doc"][own[lead]], pos[lead], h)
 
 
+def once(c: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates by group, document and place, and where their bytes begin; what a repeated row sent again goes."""
+    order = np.lexsort((c["pos"], c["doc"], c["grp"]))
+    c, begin = c[order], begin[order]
+    same = np.zeros(len(c), bool)
+    if len(c):
+        same[1:] = (c["grp"][1:] == c["grp"][:-1]) & (c["doc"][1:] == c["doc"][:-1]) & (c["pos"][1:] == c["pos"][:-1])
+    seen: set[bytes] = set()
+    for i in np.flatnonzero(same | np.append(same[1:], False)):  # rows of one doc_id may differ in their bytes
+        if not same[i]:
+            seen = set()
+        body = data[begin[i] : begin[i] + c["size"][i]].tobytes()
+        same[i] = body in seen
+        seen.add(body)
+    return c[~same], begin[~same]
+
+
 def compare_candidates(window: int):
     """Step 3b: the BWT comparison, block by block."""
 
@@ -281,8 +300,7 @@ def compare_candidates(window: int):
         c = np.concatenate(cs) if cs else np.zeros(0, CAND)
         data = np.concatenate(datas) if datas else np.zeros(0, np.uint8)
         begin = np.cumsum(c["size"], dtype=np.int64) - c["size"]
-        order = np.argsort(c["grp"], kind="stable")
-        c, begin = c[order], begin[order]
+        c, begin = once(c, data, begin)
         edge = np.append(np.flatnonzero(np.append(True, c["grp"][1:] != c["grp"][:-1])), len(c)) if len(c) else np.zeros(1, int)
         ends = np.cumsum(c["size"], dtype=np.int64)
         k = 0

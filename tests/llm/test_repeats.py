@@ -80,3 +80,14 @@ def test_edges(spark):
     assert [(r.doc_id, r.text, r.lang, r.n_removed) for r in stripped(spark.createDataFrame(rows[3:], ROW)).collect() if r.doc_id == 2] == [(2, t, "en", 0)]
     more = remove_repeats(spark.createDataFrame(rows, ROW).withColumnRenamed("lang", "start")).where("doc_id = 2").collect()[0]
     assert more.kept == b"" and [tuple(x) for x in more.removed] == [(0, len(t))]
+
+
+def test_repeated_rows_keep_what_occurs_once(spark):
+    shared = "shared boilerplate that stands in many documents, and that is quite a bit longer than one window of a hundred bytes is. "
+    rows = [(i, f"{shared} ending {i} " + f"words of document {i} alone {i * i} " * (1 + i % 3)) for i in range(10, 21)] + texts(9)[3:5]
+    want = brute(rows, 100)
+    assert any(0 < w[2] < w[1] for w in want.values())
+    for group in (512, 3):
+        twice = spark.createDataFrame([*rows, *rows[:6], rows[0], *rows[-2:]], "doc_id long, text string").repartition(5)
+        got = repeat_report(twice, 100, group).collect()
+        assert len(got) == len(rows) + 9 and all(tuple(r) == want[r.doc_id] for r in got)
