@@ -1,11 +1,15 @@
 """Licence scan by a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph (line) that holds a licence word is a candidate.  Its words and word pairs are the
+A line is a candidate if it holds an anchor or a telling n-gram, and lines joined, two that follow
+each other or all lines up to an empty one, as notices are wrapped, are if they hold the latter.  Telling
+n-grams are so chosen that a text without one cannot be confirmed.  Joined lines count only for
+families that no line of the document, or two joined, confirm; lines without an anchor only if
+confirmed.  The words and word pairs of a candidate are the
 sparse features of a logistic regression over licence families and `unknown`; the weights
 are a small table (a row for each n-gram of the training sentences) that is joined with the
 candidates' n-grams, and probabilities are calibrated by a temperature found on sentences kept
 out of the fit.  A predicted family is confirmed when the paragraph holds enough of the word
-pairs of one of that family's name templates; without that it counts as unknown.
+pairs of one of that family's templates (names, and passages of the licences' own texts); without that it counts as unknown.
 
 The classifier is fitted on the driver to sentences made from the templates below, which are
 constants; it reads no table.
@@ -23,23 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Words that make a paragraph a candidate, as they stand in lower-cased text.
+#: Words that make a line a candidate, as they stand in lower-cased text.
 ANCHORS = ("licen", "copyright", "copyleft", "public domain", "warrant", "redistribut")
-#: Share of a name template's word pairs that confirms a prediction.
+#: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
 #: Probability below which a prediction is unknown.
 LEAST = 0.5
 
 # Names by which licences are called.
 NAMES = {
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache Software License 2.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache 2.0", "Apache-2.0", "Apache Software License 2.0"],
     "MIT": ["MIT License", "The MIT License", "MIT licence"],
     "BSD": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "Simplified BSD License"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL version 2 license", "GPL v2 license"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL version 3 license", "GPL v3 license"],
-    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL license"],
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License", "AGPL license"],
-    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0 license"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL version 2 license", "GPL v2 license", "GPL v2", "GPLv2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL version 3 license", "GPL v3 license", "GPL v3", "GPLv3", "GPL-3.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL license", "LGPL v2.1", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License", "AGPL license", "AGPL v3", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0 license", "MPL 2.0"],
     "ISC": ["ISC License", "The ISC License"],
     "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license"],
     "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -47,8 +51,28 @@ NAMES = {
     "CC0": ["CC0 1.0 Universal", "Creative Commons Zero public domain dedication", "CC0 license"],
     "Unlicense": ["The Unlicense", "Unlicense public domain"],
 }
+# Passages of the licences' own texts, which need not hold the name.
+BODIES = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "Apache-2.0": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["If you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "CC-BY": ["You are free to share, copy and redistribute the material in any medium or format, and to remix, transform, and build upon the material for any purpose, even commercially."],
+    "CC-BY-SA": ["If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "CC-BY-NC": ["You may not use the material for commercial purposes."],
+    "CC0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
 FRAMES = [
-    "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This software is distributed under the terms of the {}.",
+    "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This software is distributed under the terms of the {}.", "{}", "This work is {}.",
     "You may redistribute it under the {}.", "Copyright the authors. {}.", "License: {}", "SPDX license {}", "See the {} for details.", "This program is free software under the {} as published by the foundation.",
     "Permission is granted under the {}, without warranty of any kind.", "Code in this repository is covered by the {}.", "The content is available under {} unless otherwise noted.",
 ]
@@ -98,6 +122,8 @@ def _softmax(z):
 def trained() -> Classifier:
     families = [UNKNOWN, *NAMES]
     rows = [(frame.format(n), k) for k, names in enumerate(NAMES.values(), 1) for n in names for frame in FRAMES]
+    for k, bodies in ((families.index(f), b) for f, b in BODIES.items()):
+        rows += [(text, k) for b in bodies for text in (b, f"Copyright the authors. {b}", f"{b} {b}", f"{b} The software is provided as is, without warranty of any kind, express or implied.", f"All rights reserved. {b}")]
     rows += [(s, 0) for s in OTHER for _ in range(len(FRAMES))] + [(f.format("terms of the owner"), 0) for f in FRAMES] + [(f.format("license"), 0) for f in FRAMES]
     held = [i % 5 == 3 for i in range(len(rows))]
     fit, out = [r for r, h in zip(rows, held) if not h], [r for r, h in zip(rows, held) if h]
@@ -117,15 +143,25 @@ def trained() -> Classifier:
 
 
 def templates() -> list[tuple[str, int, list[str]]]:
-    """(family, number, word pairs) of each name."""
+    """(family, number, word pairs) of each name and passage."""
     out = []
     for family, names in NAMES.items():
-        for name in names:
+        for name in names + BODIES[family]:
             w = tokens(name)
             out.append((family, len(out), sorted({f"{a} {b}" for a, b in zip(w, w[1:])} or set(w))))
     return out
 
 
+def telling() -> list[str]:
+    """The longest n-grams of each template, so many that those left are too few to confirm it."""
+    out = set()
+    for _, _, t in templates():
+        left = sorted(t, key=lambda g: (len(g), g))
+        while len(left) >= CONFIRM * len(t):
+            out.add(left.pop())
+    return sorted(out)
+
+
 def predict_one(sentence: str) -> tuple[str, float, bool]:
     """The plan's decision on one paragraph, in plain Python."""
     c = trained()
@@ -143,11 +179,23 @@ def word_grams(text: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def anchored(c: Column) -> Column:
+    return F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
+
+
 def candidate_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph) of lines that hold an anchor."""
-    anchored = lambda c: F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
-    d = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).where(anchored(F.col("text")))
-    return d.select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph")).where(anchored(F.col("paragraph")))
+    """(doc_id, paragraph, joined, anchor): candidate lines (joined 0), two lines (1) and blocks (2)."""
+    tells = F.array(*map(F.lit, telling()))
+    told = lambda c: F.arrays_overlap(word_grams(c), tells)
+    d = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    blocks = d.select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*(?=\n)")).alias("block")).where(anchored(F.col("block")) | told(F.col("block")))
+    lines = F.split("block", "\n")
+    unit = lambda x, k: F.struct(x.alias("paragraph"), F.lit(k).alias("joined"))
+    after = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    twos = F.zip_with(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), after, lambda a, b: unit(F.concat(a, F.lit(" "), b), 1))
+    units = F.concat(F.transform("lines", lambda x: unit(x, 0)), twos, F.when(F.size("lines") > 2, F.array(unit(F.array_join("lines", " "), 2))).otherwise(F.slice(twos, 1, 0)))
+    rows = blocks.withColumn("lines", lines).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.paragraph", "u.joined").withColumn("anchor", (F.col("joined") == 0) & anchored(F.col("paragraph")))
+    return rows.where(F.col("anchor") | told(F.col("paragraph")))
 
 
 def paragraph_families(docs: DataFrame) -> DataFrame:
@@ -174,11 +222,22 @@ def paragraph_families(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_candidates, n_confirmed, families, best_score) of each document: its candidate paragraphs,
     those with a confirmed family, these families, and the highest score among them (0 without any)."""
-    found = candidate_paragraphs(docs).groupBy("doc_id", "paragraph").agg(F.count("*").alias("times")).join(paragraph_families(docs), "paragraph")
-    sure = F.col("confirmed")
-    per = found.groupBy("doc_id").agg(
-        F.sum("times").alias("n_candidates"), F.sum(F.when(sure, F.col("times")).otherwise(0)).alias("n_confirmed"),
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"), F.max(F.when(sure, F.col("score"))).alias("best_score"),
+    found = candidate_paragraphs(docs).groupBy("doc_id", "paragraph", "joined", "anchor").agg(F.count("*").alias("times")).join(paragraph_families(docs), "paragraph")
+    line, sure, vague = F.col("joined") == 0, F.col("confirmed"), ~F.col("paragraph").rlike("[0-9]")
+    per = found.where(F.col("anchor") | sure).groupBy("doc_id").agg(
+        F.sum(F.when(line & (F.col("anchor") | sure), F.col("times")).otherwise(0)).alias("lines"),
+        F.collect_list(F.when(sure, F.struct("family", "score", "joined", "times", vague.alias("vague")))).alias("all"),
+    )
+    names = lambda c: F.transform(c, lambda x: x["family"])
+    stem = lambda c: F.substring_index(c, "-", 1)
+    # a part without a figure does not tell the version of a notice that the joined lines give with one
+    per = per.withColumn("exact", names(F.filter("all", lambda x: (x["joined"] > 0) & ~x["vague"]))).withColumn("stems", F.transform("exact", stem))
+    per = per.withColumn("all", F.filter("all", lambda x: ~(x["vague"] & F.array_contains("stems", stem(x["family"])) & ~F.array_contains("exact", x["family"]))))
+    per = per.withColumn("own", F.filter("all", lambda x: x["joined"] == 0)).withColumn("had", names("own"))
+    per = per.withColumn("all", F.filter("all", lambda x: (x["joined"] == 0) | ~F.array_contains("had", x["family"]))).withColumn("extra", F.size(F.array_distinct(names(F.filter("all", lambda x: x["joined"] > 0)))))
+    per = per.select(
+        "doc_id", (F.col("lines") + F.col("extra")).alias("n_candidates"), (F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["times"]) + F.col("extra")).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(names("all"))), ",").alias("families"), F.array_max(F.transform("all", lambda x: x["score"])).alias("best_score"),
     )
     ids = docs.where("doc_id is not null").select("doc_id")
     zero = F.lit(0).cast("long")

@@ -41,3 +41,23 @@ def test_edges(spark):
     rows = [(None, t, "x", "y", 1), (1, None, None, None, None), (2, "", "x", "y", 1), (3, t, "x", "y", 1), (3, t, "x", "y", 1), (4, "license", "x", "y", 1)]
     got = sorted(tuple(r)[:4] for r in L.scan(spark.createDataFrame(rows, ROW).withColumn("paragraph", L.F.lit(1)).withColumn("family", L.F.lit(2))).collect())
     assert got[:2] == [(1, 0, 0, ""), (2, 0, 0, "")] and got[-1] == (4, 1, 0, "") and got[2] == got[3] and got[2][3] == "MIT"
+
+
+SHORT = {"CC BY 4.0": "CC-BY", "This work is CC BY-SA 4.0": "CC-BY-SA", "CC BY-NC 4.0": "CC-BY-NC", "CC0 1.0 Universal": "CC0", "Released under GPL v3": "GPL-3.0", "Apache 2.0": "Apache-2.0", "MPL 2.0": "MPL-2.0"}
+
+
+def test_short_notices_bodies_and_wrapped_lines(spark):
+    cases = list(SHORT.items()) + [(b, f) for f, bodies in L.BODIES.items() for b in bodies]
+    cases += [("Released under the GNU General\nPublic License, version 3.", "GPL-3.0"), ("first part\n\nReleased under the Apache\nLicense, Version 2.0.\n\nlast part", "Apache-2.0")]
+    for b, f in [(b, f) for f, bodies in L.BODIES.items() for b in bodies]:
+        w = b.split()
+        cases.append(("\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8)), f))
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()}
+    for i, (t, f) in enumerate(cases):
+        assert got[i].families == f and got[i].n_candidates >= got[i].n_confirmed >= 1, (t, f, got[i])
+
+
+def test_texts_without_a_telling_gram_cannot_be_confirmed():
+    tells = set(L.telling())
+    for _, _, t in L.templates():
+        assert len(set(t) - tells) < L.CONFIRM * len(t)
