@@ -19,7 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = language.labelled(docs, language.fit(docs)).where(F.col("lang_pred") != language.UNKNOWN)
+    model = language.fit(docs)
+    # without a labelled row every text is of unknown language, and the letters alone decide
+    kept = F.col("lang_pred") != language.UNKNOWN if model.langs else F.col("text").cast("string").rlike(r"\p{L}")
+    found = language.labelled(docs, model).where(kept)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -51,3 +51,11 @@ def test_stage_keeps_columns_and_replaces_text(spark, sf):
     kept = corpus_pipeline.language_id(spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() >= 0.95 * docs.where("text rlike '[a-z]'").count()
     assert language.UNKNOWN not in {r.lang for r in kept.select("lang").distinct().collect()}
+
+
+def test_texts_with_letters_stay_without_any_lang(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None, "s", 10), (2, "1234 !", None, "s", 6), (3, None, None, "s", 0), (4, "слово", None, "s", 5), (5, "语 1", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4, 5]
