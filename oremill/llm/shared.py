@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,16 @@ class Stage:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows that Spark hands to Python at once; texts are long, and a batch is held twice on its way.
-BATCH_ROWS = 2000
+#: Rows that Spark hands to Python at once, and their bytes; texts are long, and a batch is held twice on its way.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers of this session are handed at once.  A setting that is smaller already stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(name)
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(name, str(most))
 
 
 def binary_text(docs: DataFrame, *keep: str) -> DataFrame:
@@ -53,13 +62,35 @@ def binary_text(docs: DataFrame, *keep: str) -> DataFrame:
     only when they are doc_id or text; other columns are not read.
     """
     ship(docs.sparkSession)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(docs.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *keep)
 
 
-def buckets(docs: DataFrame, each: int = 2 << 20, least: int = 64, most: int = 1 << 16) -> int:
+def buckets(docs: DataFrame, each: int = 2 << 20, least: int = 64) -> int:
     """How many hash buckets to deal a table's rows into: one for `each` bytes of it as Spark estimates its size."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(most, max(least, size // each))
+    return max(least, min(size // each, (1 << 31) - 1))
+
+
+def meet(df: DataFrame, key: str = "bucket") -> DataFrame:
+    """Rows dealt by `key` and sorted by it (Spark spills the sort), for `met` to walk bucket by bucket."""
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def met(batches, *names: str):
+    """Of a task's rows sorted by their first column: (bucket, a list for each name), one bucket in memory at a time.  Empty
+    and null values are left out of the lists."""
+    now, out = None, None
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        cols = [batch.column(n) for n in names]
+        edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if keys[a] != now:
+                if out is not None:
+                    yield now, out
+                now, out = int(keys[a]), [[] for _ in names]
+            for got, c in zip(out, cols):
+                got += [x for x in c.slice(a, b - a).to_pylist() if x]
+    if out is not None:
+        yield now, out
