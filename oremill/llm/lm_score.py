@@ -2,20 +2,30 @@
 
 A word's probability is that of its class in its context times its share of the class:
 p(w | h) = p(class(w) | h) (c(w) + 0.5) / T(class).  A class is a group of word endings that
-follow similar words (spherical k-means on counts over all training tokens).  The class
-softmax has n-gram features (the hashed ending of the word before), skip features (the class of
-the word two before) and a bias; it is fitted to the counts of all training events by gradient updates that are
-summed over the tasks holding the events, each step scaled by its feature's expected count.
-Each class keeps half a count for unknown words, so probabilities sum to one over the known
-words and one unknown word a class.
-
-Counts of all words are never on one machine: they stay dealt by hash, and the words of a text
-meet them there; the most frequent words (FREQUENT at most) are broadcast so that common
-words need no shuffle.  A word is identified by 52 bits of a hash and 12 of its ending's.
+follow similar words (spherical k-means on counts over all training tokens).  Each class keeps
+half a count for unknown words, so probabilities sum to one over the known words and one unknown
+word a class.
+
+The class softmax has two kinds of features:
+
+* back-off features in a table of fixed size: a bias, the hashed ending of the word before, and the class
+  of the word two before.  They are fitted by gradient updates that are summed over the tasks
+  holding the events, each step scaled by its feature's expected count, until the step is small;
+* n-gram features in tables that grow with the corpus and stay dealt by hash: the word before (whole,
+  by a hash), and that word together with the class of the word two before (a skip bigram).  A word's events are
+  all in one bucket, so its weights are fitted there by gradient updates on top of the back-off features
+  (a block of coordinate ascent), and those of the pair in closed form, drawn to the word's own
+  distribution by PRIOR counts.
+
+Counts of all words and contexts are never on one machine: they stay dealt by hash, and the words
+and contexts of a text meet them there; the most frequent words and contexts (FREQUENT and
+FREQUENT_CONTEXTS at most) are broadcast so that common ones need no shuffle.  A word is identified by 52
+bits of a hash and 12 of its ending's, its context feature by 39 of a hash and its ending's.
 
 Rows with a null doc_id are left out; null text is empty and has the end token alone.
 Repeated rows count each in training and get equal results.  Without training rows every
-count is zero.
+count is zero.  A very long text is one slice and costs some 60 times its bytes in its worker.  Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +37,25 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .embedding_dedup import spherical_kmeans
-from .jaccard_join import BLOB_SCHEMA, FLUSH, blobs, column, merged, packed, unpacked
+from .jaccard_join import BLOB_SCHEMA, FLUSH, blobs, packed, unpacked
 from .repeats import dealt
-from .shared import Stage, binary_text, buckets
+from .shared import Stage, binary_text, buckets, meet, met
 
 CLASSES, ENDINGS, NEIGHBOURS = 48, 4096, 256
 #: Feature rows: ending of the word before, class of the word two before (each with a row for none), bias.
 BEFORE, SKIP = ENDINGS + 1, CLASSES + 1
 FEATURES = BEFORE + SKIP + 1
-#: Words that are broadcast with their counts at most.
-FREQUENT = 1 << 17
-ROUNDS = 12
+#: Words, and contexts, that are broadcast at most.
+FREQUENT, FREQUENT_CONTEXTS = 1 << 17, 1 << 16
+#: Gradient updates at most, and the mean step that ends them.
+ROUNDS, SMALL_STEP = 12, 1e-3
+#: Updates and penalty of a word's own weights; counts by which a context is drawn to its word's distribution.
+WORD_ROUNDS, PENALTY, PRIOR = 6, 2.0, 12.0
+#: Contexts whose distributions are held at once.
+CONTEXTS = 1 << 14
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A271)
+#: A context's number is a word's hash (39 bits) and ending (13), with 12 bits for SKIP * CLASSES codes below.
+CODE_BITS = np.uint64(12)
 
 
 class Tokens:
@@ -118,8 +135,7 @@ def keyed(counter: Counter, n_buckets: int, mixed: bool = True) -> pa.RecordBatc
     return blobs([(b, packed(k[x], v[x]), b"") for b, x in dealt(A.mix(k) if mixed else k, n_buckets, np.arange(len(k)))])
 
 
-#: Buckets from here on hold pairs of an ending and the neighbour before it, not words.
-PAIRS = 1 << 24
+#: Buckets below 0 hold pairs of an ending and the neighbour before it, not words.
 
 
 def count_words(n_buckets: int):
@@ -133,17 +149,13 @@ def count_words(n_buckets: int):
                     yield keyed(word, n_buckets)
         yield keyed(word, n_buckets)
         got = keyed(pair, min(n_buckets, 64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(got.column(0)) + PAIRS, pa.int32()), got.column(1), got.column(2)], ["bucket", "body", "extra"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.asarray(got.column(0)), pa.int32()), got.column(1), got.column(2)], ["bucket", "body", "extra"])
 
     return run
 
 
 def sum_buckets(batches):
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-            held.setdefault(b, []).append(body)
-    for b, bodies in held.items():
+    for b, (bodies,) in met(batches, "body"):
         yield blobs([(b, packed(*summed(*unpacked(bodies, ["<u8", "<i8"]))), b"")])
 
 
@@ -184,23 +196,56 @@ class Classes:
     def __init__(self, pairs: np.ndarray):
         seen = pairs.sum(1)
         x = np.sqrt(pairs / np.maximum(seen, 1)[:, None])
-        good = np.flatnonzero(seen[:-1] >= 20)
+        good = np.flatnonzero(seen[:-1] >= max(1, min(20, seen[:-1].max())))
         self.of = np.zeros(ENDINGS + 1, np.int64)
-        if len(good) >= CLASSES:
+        if len(good):
             u = x[good] / np.linalg.norm(x[good], axis=1, keepdims=True)
-            self.of[:-1] = (x[:-1] @ spherical_kmeans(u, CLASSES - 1).T).argmax(1)
+            self.of[:-1] = (x[:-1] @ spherical_kmeans(u, min(CLASSES - 1, len(good))).T).argmax(1)
         self.of[-1] = CLASSES - 1
 
 
-def count_events(shared, n_buckets: int):
-    """Training events (context, class), dealt by context."""
+def contexts(t: Tokens, skip: np.ndarray) -> np.ndarray:
+    """Each token's context: the word before and the class two before, with the codes' room below."""
+    word = A.mix(t.one) >> np.uint64(25) << np.uint64(13) | t.one_row.astype(np.uint64)
+    return word << CODE_BITS | (skip[t.two_ending] * CLASSES).astype(np.uint64)
+
+
+def of_events(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word feature, back-off row of its ending, class two before and own class of each event."""
+    word, code = key >> CODE_BITS, (key & np.uint64((1 << 12) - 1)).astype(np.int64)
+    return word, (word & np.uint64((1 << 13) - 1)).astype(np.int64), code // CLASSES, code % CLASSES
+
+
+def count_contexts(shared, n_buckets: int):
+    """Training events (context, class), dealt by the word before."""
 
     def run(batches):
         of, events = shared.value, Counter()
         skip = skip_rows(of)
         for batch in batches:
             for _, _, t in slices(batch):
-                if events.add(((t.one_row * SKIP + skip[t.two_ending]) * CLASSES + of[t.ending]).astype(np.uint64)):
+                if events.add(contexts(t, skip) + of[t.ending].astype(np.uint64)):
+                    yield by_word(events, n_buckets)
+        yield by_word(events, n_buckets)
+
+    return run
+
+
+def by_word(events: Counter, n_buckets: int) -> pa.RecordBatch:
+    k, v = events.take()
+    return blobs([(b, packed(k[x], v[x]), b"") for b, x in dealt(A.mix(k >> CODE_BITS), n_buckets, np.arange(len(k)))])
+
+
+def back_off_events(n_buckets: int):
+    """The same events without the word, of which there is a fixed number."""
+
+    def run(batches):
+        events = Counter()
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                k, c = unpacked([body], ["<u8", "<i8"])
+                _, one, two, cls = of_events(k)
+                if events.add(*summed(((one * SKIP + two) * CLASSES + cls).astype(np.uint64), c)):
                     yield by_context(events, n_buckets)
         yield by_context(events, n_buckets)
 
@@ -212,12 +257,80 @@ def by_context(events: Counter, n_buckets: int) -> pa.RecordBatch:
     return blobs([(b, packed(k[x], v[x]), b"") for b, x in dealt(A.mix(k // np.uint64(CLASSES)), n_buckets, np.arange(len(k)))])
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def word_models(k: np.ndarray, c: np.ndarray, w: np.ndarray):
+    """From the sorted events of a bucket, some words at a time: the words' features and weights, their contexts,
+    the log-probabilities of all classes in each, and the contexts' counts."""
+    first = heads(k >> CODE_BITS)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + CONTEXTS)))
+        lo, hi = first[a], first[b] if b < len(first) else len(k)
+        word, one, two, cls = of_events(k[lo:hi])
+        context = k[lo:hi] - cls.astype(np.uint64)
+        at = heads(context)
+        x = np.zeros((len(at), CLASSES))
+        x[np.searchsorted(at, np.arange(hi - lo), side="right") - 1, cls] = c[lo:hi]
+        start = heads(word[at])
+        own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+        z, total, seen = class_logits(w, one[at], two[at]), x.sum(1), np.add.reduceat(x, start)
+        u = np.zeros((len(start), CLASSES))
+        for _ in range(WORD_ROUNDS):
+            want = np.add.reduceat(np.exp(log_softmax(z + u[own])) * total[:, None], start)
+            u += np.clip((seen - want - PENALTY * u) / (want + PENALTY), -2, 2) * 0.7
+        q = np.exp(log_softmax(z + u[own]))
+        yield word[at][start], u, context[at], np.log((x + PRIOR * q) / (total + PRIOR)[:, None]), total
+        a = b
+
+
+def context_sizes(batches):
+    """How many contexts have a count of so many bits."""
+    n = np.zeros(64, np.int64)
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            k, c = unpacked([body], ["<u8", "<i8"])
+            if len(k):
+                at = heads(k - of_events(k)[3].astype(np.uint64))
+                n += np.bincount(np.floor(np.log2(np.add.reduceat(c, at))).astype(np.int64), minlength=64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array(n)], ["k", "n"])
+
+
+def frequent_contexts(shared, least: int):
+    """The distributions of contexts seen `least` times or more."""
+
+    def run(batches):
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                k, c = unpacked([body], ["<u8", "<i8"])
+                if not len(k) or np.add.reduceat(c, heads(k >> CODE_BITS)).max() < least:
+                    continue
+                at = heads(k >> CODE_BITS)
+                size = np.diff(np.append(at, len(k)))
+                keep = np.repeat(np.add.reduceat(c, at) >= least, size)
+                for _, _, context, lp, total in word_models(k[keep], c[keep], shared.value):
+                    many = total >= least
+                    yield blobs([(0, context[many].tobytes(), lp[many].astype("<f4").tobytes())])
+
+    return run
+
+
+def class_logits(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What the back-off features give each class in each context."""
+    return w[one] + w[BEFORE + two] + w[-1]
+
+
 def class_probabilities(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes for each context."""
-    z = w[one] + w[BEFORE + two] + w[-1]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    """Log-probabilities of all classes by the back-off features alone."""
+    return log_softmax(class_logits(w, one, two))
 
 
 def gradients(shared):
@@ -270,28 +383,56 @@ def fit(events: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
         if not got:
             break
         seen, want = (np.concatenate([np.frombuffer(r[k]) for r in got]).reshape(FEATURES, CLASSES) for k in (1, 2))
-        w += np.clip((seen - want - 0.5 * w) / (want + 2.0), -2, 2).astype(np.float32) / 2
+        step = np.clip((seen - want - 0.5 * w) / (want + 2.0), -2, 2).astype(np.float32) / 2
+        w += step
+        if (np.abs(step) * want).sum() < SMALL_STEP * want.sum():  # by how often its feature and class are expected
+            break
     return w
 
 
 DOC = np.dtype([("doc", "<i8"), ("row", "<i8"), ("n", "<i8"), ("known", "<i8"), ("common", "<f8"), ("model", "<f8")])
+SENT_SCHEMA = "bucket long, words binary, contexts binary, base binary"
+#: Parts of SENT_SCHEMA that the tables of counts and of events fill.
+TABLES = ("counts", "events")
+
+
+def gate(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 22, bool)
+    out[keys >> np.uint64(42)] = True
+    return out
+
+
+def places(keys: np.ndarray, table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are among the sorted keys (whose gate is `table`), and where."""
+    maybe = np.flatnonzero(table[x >> np.uint64(42)])
+    if not len(keys):
+        return maybe[:0], maybe[:0]
+    at = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
+    hit = keys[at] == x[maybe]
+    return maybe[hit], at[hit]
 
 
 def send_scores(shared, n_buckets: int):
-    """Each text's model part and its frequent words settled; other words go to where their counts are."""
+    """What the broadcast tables settle of each text; other words and contexts go to where their counts are."""
 
     def run(batches):
-        keys, counts, of, w, log_total = shared.value
-        skip = skip_rows(of)
-        gate = np.zeros(1 << 22, bool)
-        gate[keys >> np.uint64(42)] = True
+        keys, counts, of, often, lp, log_total = shared.value
+        skip, key_gate, often_gate = skip_rows(of), gate(keys), gate(often)
         held: list[tuple] = []
 
         def flush():
-            word, doc, tf, d = (np.concatenate(c) for c in zip(*held))
+            word, doc, tf, context, cdoc, d = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            rare = ((k, packed(word[x], doc[x], tf[x])) for k, x in dealt(A.mix(word), n_buckets, np.arange(len(word))))
-            return blobs(merged(rare, ((k, x.tobytes()) for k, x in dealt(A.mix(d["doc"].astype(np.uint64)), n_buckets, d))))
+            rows: dict[int, list[bytes]] = {}
+            for at, n, parts in (
+                (0, len(word), ((k, packed(word[x], doc[x], tf[x])) for k, x in dealt(A.mix(word), n_buckets, np.arange(len(word))))),
+                (1, len(context), ((k, packed(context[x], cdoc[x])) for k, x in dealt(A.mix(context >> CODE_BITS), n_buckets, np.arange(len(context))))),
+                (2, len(d), ((k, x.tobytes()) for k, x in dealt(A.mix(d["doc"].astype(np.uint64)), n_buckets, d))),
+            ):
+                for k, body in parts:
+                    rows.setdefault(k, [b"", b"", b""])[at] = body
+            bucket, *cols = list(rows), *zip(*rows.values())
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "words", "contexts", "base"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -299,31 +440,32 @@ def send_scores(shared, n_buckets: int):
                 n = np.diff(t.at)
                 d = np.zeros(b - a, DOC)
                 d["doc"], d["n"] = ids[a:b], n
-                cls, two = of[t.ending], skip[t.two_ending]
-                lp = np.empty(len(cls))
-                for p in range(0, len(cls), 1 << 16):
-                    q = slice(p, p + (1 << 16))
-                    z = class_probabilities(w, t.one_row[q], two[q])
-                    lp[q] = z[np.arange(len(z)), cls[q]]
-                d["model"] = np.add.reduceat(lp / np.log(10) - log_total[cls], t.at[:-1])
+                cls = of[t.ending]
+                value = -log_total[cls]
+                context = contexts(t, skip)
+                hit, at = places(often, often_gate, context)
+                value[hit] += lp[at, cls[hit]] / np.log(10)
+                d["model"] = np.add.reduceat(value, t.at[:-1])
+                far = np.ones(len(cls), bool)
+                far[hit] = False
+                far = np.flatnonzero(far)
+                context = context[far] + cls[far].astype(np.uint64)
+                cdoc = ids[a:b][t.row[far]]
                 common = np.zeros(len(cls), bool)
-                if len(keys):
-                    maybe = np.flatnonzero(gate[t.word >> np.uint64(42)])
-                    at = np.minimum(np.searchsorted(keys, t.word[maybe]), len(keys) - 1)
-                    hit = keys[at] == t.word[maybe]
-                    common[maybe[hit]] = True
-                    value = np.zeros(len(cls))
-                    value[maybe[hit]] = np.log10(counts[at[hit]] + 0.5)
-                    d["common"] = np.add.reduceat(value, t.at[:-1])
-                    d["known"] = np.add.reduceat(common.astype(np.int64), t.at[:-1])
+                hit, at = places(keys, key_gate, t.word)
+                common[hit] = True
+                value = np.zeros(len(cls))
+                value[hit] = np.log10(counts[at] + 0.5)
+                d["common"] = np.add.reduceat(value, t.at[:-1])
+                d["known"] = np.add.reduceat(common.astype(np.int64), t.at[:-1])
                 rest = np.flatnonzero(~common)
                 word, row = t.word[rest], t.row[rest]
                 order = np.lexsort((word, row))
                 word, row = word[order], row[order]
                 head = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1]))) if len(word) else np.zeros(0, int)
                 tf = np.diff(np.append(head, len(word))).astype(np.uint32)
-                held.append((word[head], ids[a:b][row[head]], tf, d))
-                if sum(len(h[0]) for h in held) >= FLUSH:
+                held.append((word[head], ids[a:b][row[head]], tf, context, cdoc, d))
+                if sum(len(h[0]) + len(h[3]) for h in held) >= FLUSH:
                     yield flush()
         if held:
             yield flush()
@@ -331,81 +473,124 @@ def send_scores(shared, n_buckets: int):
     return run
 
 
-PART = np.dtype([("doc", "<i8"), ("known", "<i8"), ("sum", "<f8")])
-
-
-def meet_counts(n_buckets: int):
-    """Words of texts meet their counts; sums go to the texts."""
+PART = np.dtype([("doc", "<i8"), ("known", "<i8"), ("sum", "<f8"), ("model", "<f8")])
+
+
+def parts_of(doc: np.ndarray, known: np.ndarray, total: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """One record for each document."""
+    order = np.argsort(doc, kind="stable")
+    head = heads(doc[order])
+    part = np.zeros(len(head), PART)
+    if len(head):
+        part["doc"] = doc[order][head]
+        for name, x in (("known", known), ("sum", total), ("model", model)):
+            part[name] = np.add.reduceat(x[order], head)
+    return part
+
+
+def context_values(k: np.ndarray, c: np.ndarray, w: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Log-probabilities of sorted queries (context and class) under the sorted events of their bucket."""
+    out, done = np.empty(len(query)), 0
+    feature, one, two, cls = of_events(query)
+
+    def part(a: int, b: int, words, u, known, lp):
+        for i in range(a, b, CONTEXTS):
+            q = slice(i, min(i + CONTEXTS, b))
+            z = class_logits(w, one[q], two[q])
+            if len(words):
+                at = np.minimum(np.searchsorted(words, feature[q]), len(words) - 1)
+                z = z + np.where((words[at] == feature[q])[:, None], u[at], 0)
+            z = log_softmax(z)
+            row = np.arange(len(z))
+            out[q] = z[row, cls[q]]
+            if len(known):
+                mine = query[q] - cls[q].astype(np.uint64)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                hit = known[at] == mine
+                out[q][hit] = lp[at[hit], cls[q][hit]]
+
+    for words, u, known, lp, _ in word_models(k, c, w) if len(query) else ():
+        stop = int(np.searchsorted(feature, words[-1], side="right"))
+        part(done, stop, words, u, known, lp)
+        done = max(done, stop)
+    part(done, len(query), feature[:0], None, feature[:0], None)
+    return out
+
+
+def meet_counts(shared, n_buckets: int):
+    """Words and contexts of texts meet their counts; sums go to the texts."""
 
     def run(batches):
-        body, extra, tables = [], [], []
-        for batch in batches:
-            for is_table, x, y in zip(*(batch.column(k).to_pylist() for k in ("counts", "body", "extra"))):
-                if y:
-                    extra.append(y)
-                if x:
-                    (tables if is_table else body).append(x)
-        key, count = unpacked(tables, ["<u8", "<i8"])
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        word, doc, tf = unpacked(body, ["<u8", "<i8", "<u4"])
-        c = np.zeros(len(word), np.int64)
-        if len(key) and len(word):
-            at = np.minimum(np.searchsorted(key, word), len(key) - 1)
-            c = np.where(key[at] == word, count[at], 0)
-        value, known = tf * np.log10(c + 0.5), tf * (c > 0)
-        order = np.argsort(doc, kind="stable")
-        doc, value, known = doc[order], value[order], known[order]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-        part = np.zeros(len(head), PART)
-        if len(head):
-            part["doc"], part["known"], part["sum"] = doc[head], np.add.reduceat(known.astype(np.int64), head), np.add.reduceat(value, head)
-        base = np.frombuffer(b"".join(extra), DOC)
-        sums = ((k, x.tobytes()) for k, x in dealt(A.mix(part["doc"].astype(np.uint64)), n_buckets, part))
-        yield blobs(merged(sums, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
+        w = shared.value
+        for _, (words, asked, base, tables, events) in met(batches, "words", "contexts", "base", *TABLES):
+            key, count = unpacked(tables, ["<u8", "<i8"])
+            word, doc, tf = unpacked(words, ["<u8", "<i8", "<u4"])
+            c = np.zeros(len(word), np.int64)
+            if len(key) and len(word):
+                order = np.argsort(key)
+                key, count = key[order], count[order]
+                at = np.minimum(np.searchsorted(key, word), len(key) - 1)
+                c = np.where(key[at] == word, count[at], 0)
+            query, cdoc = unpacked(asked, ["<u8", "<i8"])
+            order = np.argsort(query, kind="stable")
+            value = context_values(*unpacked(events, ["<u8", "<i8"]), w, query[order]) / np.log(10)
+            none = np.zeros(len(query))
+            part = parts_of(np.concatenate([doc, cdoc[order]]), np.concatenate([tf * (c > 0), none.astype(np.int64)]), np.concatenate([tf * np.log10(c + 0.5), none]), np.concatenate([np.zeros(len(doc)), value]))
+            d = np.frombuffer(b"".join(base), DOC)
+            rows: dict[int, list[bytes]] = {}
+            for at, x in ((0, part), (1, d)):
+                for k, y in dealt(A.mix(x["doc"].astype(np.uint64)), n_buckets, x):
+                    rows.setdefault(k, [b"", b""])[at] = y.tobytes()
+            yield blobs([(k, *x) for k, x in rows.items()])
 
     return run
 
 
 def total_scores(tokens: int, types: int):
     def run(batches):
-        body, extra = column(batches, "body", "extra")
-        part, d = np.frombuffer(b"".join(body), PART), np.frombuffer(b"".join(extra), DOC)
-        ids, at, copies = np.unique(d["doc"], return_inverse=True, return_counts=True)
-        own = np.searchsorted(ids, part["doc"])
-        # a repeated row sends its words each time; twins share the sum
-        rare = np.bincount(own, weights=part["sum"], minlength=len(ids)) / np.maximum(copies, 1)
-        known = np.bincount(own, weights=part["known"], minlength=len(ids)) / np.maximum(copies, 1)
-        total = d["common"] + rare[at]
-        cols = [
-            pa.array(np.ascontiguousarray(d["doc"])), pa.array(np.ascontiguousarray(d["n"])), pa.array(np.rint(d["known"] + known[at]).astype(np.int64)), pa.array(np.full(len(d), tokens, np.int64)),
-            pa.array(total - d["n"] * np.log10(tokens + 0.5 * (types + 1))), pa.array(total + d["model"]),
-        ]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for _, (body, extra) in met(batches, "body", "extra"):
+            part, d = np.frombuffer(b"".join(body), PART), np.frombuffer(b"".join(extra), DOC)
+            ids, at, copies = np.unique(d["doc"], return_inverse=True, return_counts=True)
+            own = np.searchsorted(ids, part["doc"])
+            # a repeated row sends its words each time; twins share the sum
+            rare, known, model = (np.bincount(own, weights=part[k], minlength=len(ids)) / np.maximum(copies, 1) for k in ("sum", "known", "model"))
+            total = d["common"] + rare[at]
+            cols = [
+                pa.array(np.ascontiguousarray(d["doc"])), pa.array(np.ascontiguousarray(d["n"])), pa.array(np.rint(d["known"] + known[at]).astype(np.int64)), pa.array(np.full(len(d), tokens, np.int64)),
+                pa.array(total - d["n"] * np.log10(tokens + 0.5 * (types + 1))), pa.array(total + d["model"] + model[at]),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+def lowest(sizes: dict[int, int], most: int) -> int:
+    """The lowest power of two that `most` counts at most reach."""
+    least, above = 1 << 62, 0
+    for bits in range(61, -1, -1):
+        above += sizes.get(bits, 0)
+        if above > most:
+            break
+        least = 1 << bits
+    return least
+
+
 def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs under a model of train."""
     spark = docs.sparkSession
     stage, n = Stage(spark), buckets(train)
+    share = spark.sparkContext.broadcast
     texts = binary_text(train)
-    counts = stage.write(texts.mapInArrow(count_words(n), BLOB_SCHEMA).repartition("bucket").mapInArrow(sum_buckets, BLOB_SCHEMA))
-    words = counts.where(F.col("bucket") < PAIRS)
+    counts = stage.write(meet(texts.mapInArrow(count_words(n), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA))
+    words = counts.where(F.col("bucket") >= 0)
     stats = {r.k: (r.types, r.tokens) for r in words.mapInArrow(word_stats, STATS_SCHEMA).groupBy("k").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()}
     types, tokens = (sum(v[i] for k, v in stats.items() if k >= 0) for i in (0, 1))
-    least, above = 1 << 63, 0
-    for bits in range(63, -1, -1):  # the lowest power of two that few enough words reach
-        above += stats.get(bits - 64, (0, 0))[0]
-        if above > FREQUENT:
-            break
-        least = 1 << bits
+    least = lowest({k + 64: v[0] for k, v in stats.items() if k < 0}, FREQUENT)
     keys, c = unpacked([bytes(r.body) for r in words.mapInArrow(frequent_rows(least), BLOB_SCHEMA).select("body").collect()], ["<u8", "<i8"])  # FREQUENT rows at most
     order = np.argsort(keys)
     keys, c = keys[order], c[order]
     pairs = np.zeros((ENDINGS + 1) * NEIGHBOURS)
-    k, v = unpacked([bytes(r.body) for r in counts.where(F.col("bucket") >= PAIRS).select("body").collect()], ["<u8", "<i8"])  # a fixed number of pairs
+    k, v = unpacked([bytes(r.body) for r in counts.where(F.col("bucket") < 0).select("body").collect()], ["<u8", "<i8"])  # a fixed number of pairs
     pairs[k.astype(np.int64)] = v
     pairs = pairs.reshape(ENDINGS + 1, NEIGHBOURS)
     of = Classes(pairs).of
@@ -414,9 +599,16 @@ def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k, (t, c_k) in stats.items():
         if k >= 0:
             held[of[k]] += c_k + 0.5 * t
-    events = stage.write(texts.mapInArrow(count_events(spark.sparkContext.broadcast(of), n), BLOB_SCHEMA).repartition("bucket").mapInArrow(sum_buckets, BLOB_SCHEMA))
-    w = fit(events, held / held.sum(), rounds)
-    shared = spark.sparkContext.broadcast((keys, c, of, w, np.log10(held)))
-    sent = binary_text(docs).mapInArrow(send_scores(shared, n), BLOB_SCHEMA).withColumn("counts", F.lit(False))
-    met = sent.unionByName(words.withColumn("counts", F.lit(True))).repartition("bucket").mapInArrow(meet_counts(n), BLOB_SCHEMA)
-    return met.repartition("bucket").mapInArrow(total_scores(tokens, types), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    events = stage.write(meet(texts.mapInArrow(count_contexts(share(of), n), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA))
+    w = fit(stage.write(meet(events.mapInArrow(back_off_events(min(n, 256)), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA)), held / held.sum(), rounds)
+    weights = share(w)
+    sizes = {r.k: r.n for r in events.mapInArrow(context_sizes, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    got = events.mapInArrow(frequent_contexts(weights, lowest(sizes, FREQUENT_CONTEXTS)), BLOB_SCHEMA).select("body", "extra").collect()  # FREQUENT_CONTEXTS rows at most
+    often = np.frombuffer(b"".join(bytes(r.body) for r in got), "<u8")
+    order = np.argsort(often)
+    lp = np.frombuffer(b"".join(bytes(r.extra) for r in got), "<f4").reshape(-1, CLASSES)[order]
+    sent = binary_text(docs).mapInArrow(send_scores(share((keys, c, of, often[order], lp, np.log10(held))), n), SENT_SCHEMA)
+    for name, table in zip(TABLES, (words, events)):
+        sent = sent.unionByName(table.select(F.col("bucket").cast("long").alias("bucket"), F.col("body").alias(name)), allowMissingColumns=True)
+    summed_up = meet(sent).mapInArrow(meet_counts(weights, n), BLOB_SCHEMA)
+    return meet(summed_up).mapInArrow(total_scores(tokens, types), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

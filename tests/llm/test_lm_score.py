@@ -75,3 +75,46 @@ def test_edges(spark):
     got = sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in M.score(d, d).collect())
     want = base([(1, None), (2, "a b")], [(1, None), (2, "a b"), (2, "a b")])
     assert got == [(i, want[i][1], want[i][2], round(want[i][3], 9)) for i in (1, 2, 2)]
+
+
+def test_words_before_carry_weight(spark):
+    """Words that the word before decides, with endings that tell nothing and fewer of them than classes."""
+    r = random.Random(3)
+    first, second = [f"{c}{d}x" for c in "abcdefgh" for d in "pqrst"], {}
+    docs = []
+    for i in range(400):
+        out = []
+        for _ in range(30):
+            a = r.choice(first)
+            out += [a, second.setdefault(a, r.choice(["one", "two", "tri", "fou"]))]
+        docs.append((i, " ".join(out)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = M.score(d, d.where(fold(5) != 1)).where(fold(5) == 1).collect()
+    per_pair = sum(r.score - r.base_score for r in rows) / sum((r.n_tokens - 1) / 2 for r in rows)
+    # a first word is one of 40 in place of 80, and the second, one of four in half of all places, is certain
+    assert 0.85 < per_pair / math.log10(2 * 8) < 1.02, per_pair
+
+
+def test_distributions_of_contexts_sum_to_one():
+    rng = np.random.default_rng(2)
+    k = np.unique(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(25) | rng.integers(0, M.SKIP * M.CLASSES, 3000).astype(np.uint64))
+    c = rng.integers(1, 9, len(k))
+    w = rng.normal(size=(M.FEATURES, M.CLASSES))
+    seen = 0
+    for words, u, context, lp, total in M.word_models(k, c, w):
+        assert np.allclose(np.exp(lp).sum(1), 1) and len(u) == len(words) and len(total) == len(context)
+        seen += total.sum()
+    assert seen == c.sum()
+    known, unknown = k[:5], (np.arange(5).astype(np.uint64) + np.uint64(99)) << np.uint64(25)
+    every = np.concatenate([(x - x % np.uint64(4096) + x % np.uint64(4096) // np.uint64(48) * np.uint64(48))[None] + np.arange(48, dtype=np.uint64) for x in [*known, *unknown]])
+    order = np.argsort(every)
+    value = np.empty(len(every))
+    value[order] = M.context_values(k, c, w, every[order])
+    assert np.allclose(np.exp(value).reshape(-1, 48).sum(1), 1)
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    text = "ab cde " * 600_000
+    d = spark.createDataFrame([(1, text, 5, "w"), (2, "ab", 6, "b")], "doc_id long, text string, bucket int, words string")
+    got = {r.doc_id: r.n_tokens for r in M.score(d, d).collect()}
+    assert got == {1: 1_200_001, 2: 2}
