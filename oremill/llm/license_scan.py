@@ -2,9 +2,10 @@
 
 A line is a candidate if it holds an anchor or a telling n-gram, and lines joined, two that follow
 each other or all lines up to an empty one, as notices are wrapped, are if they hold the latter.  Telling
-n-grams are so chosen that a text without one cannot be confirmed.  Joined lines count only for
-families that no line of the document, or two joined, confirm; lines without an anchor only if
-confirmed.  The words and word pairs of a candidate are the
+n-grams are so chosen that a text without one cannot be confirmed; texts without any of the few
+words that make up anchors and telling n-grams (`gate_words`) are passed over in one look.  Joined
+lines count only for families that no line of the document, or two joined, confirm; lines without an
+anchor only if confirmed.  The words and word pairs of a candidate are the
 sparse features of a logistic regression over licence families and `unknown`; the weights
 are a small table (a row for each n-gram of the training sentences) that is joined with the
 candidates' n-grams, and probabilities are calibrated by a temperature found on sentences kept
@@ -14,8 +15,13 @@ pairs of one of that family's templates (names, and passages of the licences' ow
 The classifier is fitted on the driver to sentences made from the templates below, which are
 constants; it reads no table.
 
+The documents are read once; their candidates, few and short as a rule, are written to the shared folder,
+and each distinct paragraph is judged once, under a sha256 of its text.
+
 Null and empty texts have no paragraphs.  Rows with a null doc_id are left out; repeated
-rows give repeated, equal results; columns other than doc_id and text are not read.
+rows give repeated, equal results; columns other than doc_id and text are not read, and either of these twice
+is Spark's own ambiguity error.  A very long text is cut into lines like any other; of families with
+equal probability the first in alphabetical order after `unknown` wins.
 """
 
 from __future__ import annotations
@@ -26,9 +32,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Stage
+
 UNKNOWN = "unknown"
 #: Words that make a line a candidate, as they stand in lower-cased text.
 ANCHORS = ("licen", "copyright", "copyleft", "public domain", "warrant", "redistribut")
+# Fixed value: words that stand in almost every English text.
+COMMON = frozenset("a all an and any are as at be but by for from has have if in is it its may no not of on or other out such that the their this to under was which will with you your".split())
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
 #: Probability below which a prediction is unknown.
@@ -162,6 +172,26 @@ def telling() -> list[str]:
     return sorted(out)
 
 
+@lru_cache(maxsize=1)
+def gate_words() -> tuple[str, ...]:
+    """Strings one of which every anchored or confirmable text holds: the anchors, and words that leave of each
+    template too few pairs to confirm it."""
+    out = list(ANCHORS)
+    left = [{g for g in t if not any(w in g for w in out)} for _, _, t in templates()]
+    spare = [CONFIRM * len(t) for _, _, t in templates()]
+    while True:
+        open_ones = [k for k, (g, most) in enumerate(zip(left, spare)) if len(g) >= most]
+        if not open_ones:
+            return tuple(out)
+        words = {w for k in open_ones for g in left[k] for w in g.split()}
+        words = words - COMMON or words
+        # long words are rarer, and one that fits many templates spares others
+        gain = {w: len(w) * sum(min(sum(w in g.split() for g in left[k]), len(left[k]) - spare[k] + 1) for k in open_ones) for w in words}
+        best = max(sorted(words), key=lambda w: (len(w) > 4 or any(c.isdigit() for c in w), gain[w]))
+        out.append(best)
+        left = [{g for g in t if not any(best in w for w in g.split())} for t in left]
+
+
 def predict_one(sentence: str) -> tuple[str, float, bool]:
     """The plan's decision on one paragraph, in plain Python."""
     c = trained()
@@ -183,47 +213,62 @@ def anchored(c: Column) -> Column:
     return F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
 
 
+def gated(c: Column) -> Column:
+    low, words = F.lower(c), gate_words()
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        if len(w) > 3 or any(x.isdigit() for x in w):
+            out = out | F.contains(low, F.lit(w))
+    short = [w for w in words if len(w) <= 3 and not any(x.isdigit() for x in w)]  # as parts of longer words they are common
+    return out | low.rlike(rf"(?<![a-z0-9.])(?:{'|'.join(short)})(?![a-z0-9])") if short else out
+
+
 def candidate_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, joined, anchor): candidate lines (joined 0), two lines (1) and blocks (2)."""
     tells = F.array(*map(F.lit, telling()))
     told = lambda c: F.arrays_overlap(word_grams(c), tells)
-    d = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    blocks = d.select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*(?=\n)")).alias("block")).where(anchored(F.col("block")) | told(F.col("block")))
+    d = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).where(gated(F.col("text")))
+    blocks = d.select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*(?=\n)")).alias("block")).where(gated(F.col("block")))
     lines = F.split("block", "\n")
     unit = lambda x, k: F.struct(x.alias("paragraph"), F.lit(k).alias("joined"))
     after = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     twos = F.zip_with(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), after, lambda a, b: unit(F.concat(a, F.lit(" "), b), 1))
     units = F.concat(F.transform("lines", lambda x: unit(x, 0)), twos, F.when(F.size("lines") > 2, F.array(unit(F.array_join("lines", " "), 2))).otherwise(F.slice(twos, 1, 0)))
-    rows = blocks.withColumn("lines", lines).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.paragraph", "u.joined").withColumn("anchor", (F.col("joined") == 0) & anchored(F.col("paragraph")))
+    rows = blocks.withColumn("lines", lines).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.paragraph", "u.joined").where(gated(F.col("paragraph")))
+    rows = rows.withColumn("anchor", (F.col("joined") == 0) & anchored(F.col("paragraph")))
     return rows.where(F.col("anchor") | told(F.col("paragraph")))
 
 
-def paragraph_families(docs: DataFrame) -> DataFrame:
-    """(paragraph, family, score, confirmed) of each distinct candidate paragraph."""
-    spark, c = docs.sparkSession, trained()
+def paragraph_families(paragraphs: DataFrame) -> DataFrame:
+    """(key, family, score, confirmed) of distinct paragraphs (key, paragraph)."""
+    spark, c = paragraphs.sparkSession, trained()
     n = len(c.families)
     weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in zip(c.vocab, c.weights)], "gram string, w array<double>")
     rules = spark.createDataFrame([(f, k, len(t), x) for f, k, t in templates() for x in t], "family string, template int, size int, gram string")
-    lines = candidate_paragraphs(docs).select("paragraph").distinct().withColumn("grams", word_grams(F.col("paragraph")))
-    known = lines.select("paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")  # a constant table
-    sums = known.groupBy("paragraph").agg(F.count("*").alias("m"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
+    lines = paragraphs.select("key", F.explode(word_grams(F.col("paragraph"))).alias("gram"))
+    known = lines.join(F.broadcast(weights), "gram")  # a constant table
+    sums = known.groupBy("key").agg(F.count("*").alias("m"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
     z = F.array(*((F.col(f"s{k}") / F.sqrt("m") + F.lit(float(c.bias[k]))) / F.lit(c.temperature) for k in range(n)))
     none = [float(b / c.temperature) for b in c.bias]
-    scored = lines.join(sums, "paragraph", "left").withColumn("z", F.when(F.col("m").isNull(), F.array(*map(F.lit, none))).otherwise(z))
+    scored = paragraphs.select("key").join(sums, "key", "left").withColumn("z", F.when(F.col("m").isNull(), F.array(*map(F.lit, none))).otherwise(z))
     scored = scored.withColumn("top", F.array_max("z")).withColumn("score", 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     names = F.array(*map(F.lit, c.families))
     family = F.when(F.col("score") >= LEAST, F.element_at(names, F.array_position("z", F.col("top")).cast("int"))).otherwise(F.lit(UNKNOWN))
-    scored = scored.select("paragraph", "grams", family.alias("family"), "score")
-    held = scored.where(F.col("family") != UNKNOWN).select("paragraph", "family", F.explode("grams").alias("gram")).join(F.broadcast(rules), ["family", "gram"])
-    sure = held.groupBy("paragraph", "template", "size").count().where(F.col("count") >= CONFIRM * F.col("size")).select("paragraph").distinct().withColumn("confirmed", F.lit(True))
-    return scored.join(sure, "paragraph", "left").select("paragraph", "family", "score", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    scored = scored.select("key", family.alias("family"), "score")
+    # pairs of each template that a paragraph holds
+    held = lines.join(F.broadcast(rules), "gram").groupBy("key", "family", "template", "size").count()  # a constant table
+    sure = held.where(F.col("count") >= CONFIRM * F.col("size")).select("key", "family").distinct().withColumn("confirmed", F.lit(True))
+    return scored.join(sure, ["key", "family"], "left").select("key", "family", "score", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_candidates, n_confirmed, families, best_score) of each document: its candidate paragraphs,
     those with a confirmed family, these families, and the highest score among them (0 without any)."""
-    found = candidate_paragraphs(docs).groupBy("doc_id", "paragraph", "joined", "anchor").agg(F.count("*").alias("times")).join(paragraph_families(docs), "paragraph")
-    line, sure, vague = F.col("joined") == 0, F.col("confirmed"), ~F.col("paragraph").rlike("[0-9]")
+    own = candidate_paragraphs(docs).withColumn("key", F.sha2("paragraph", 256)).withColumn("vague", ~F.col("paragraph").rlike("[0-9]"))
+    own = Stage(docs.sparkSession).write(own)
+    families = paragraph_families(own.groupBy("key").agg(F.first("paragraph").alias("paragraph")))
+    found = own.groupBy("doc_id", "key", "vague", "joined", "anchor").agg(F.count("*").alias("times")).join(families, "key")
+    line, sure, vague = F.col("joined") == 0, F.col("confirmed"), F.col("vague")
     per = found.where(F.col("anchor") | sure).groupBy("doc_id").agg(
         F.sum(F.when(line & (F.col("anchor") | sure), F.col("times")).otherwise(0)).alias("lines"),
         F.collect_list(F.when(sure, F.struct("family", "score", "joined", "times", vague.alias("vague")))).alias("all"),

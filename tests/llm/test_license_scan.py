@@ -1,3 +1,5 @@
+import math
+
 from oremill.llm import license_scan as L
 
 from .test_repeats import ROW
@@ -21,6 +23,48 @@ def test_families_and_unknown():
         assert not L.predict_one(line)[2], (line, L.predict_one(line))
 
 
+def judged(line):
+    """The decision on one line from the model's tables alone, word by word."""
+    c, words, word = L.trained(), [], ""
+    for x in line.lower() + " ":
+        if x in "abcdefghijklmnopqrstuvwxyz0123456789.":
+            word += x
+        elif word.rstrip("."):
+            words.append(word.rstrip("."))
+            word = ""
+        else:
+            word = ""
+    grams = set(words).union(f"{a} {b}" for a, b in zip(words, words[1:]))
+    rows = [c.weights[i] for i, g in enumerate(c.vocab) if g in grams]
+    z = [(sum(r[k] for r in rows) / math.sqrt(max(len(rows), 1)) + c.bias[k]) / c.temperature for k in range(len(c.families))]
+    p = [math.exp(v - max(z)) for v in z]
+    score, family = max(p) / sum(p), c.families[p.index(max(p))]
+    sure = [f for f, _, t in L.templates() if f == family and len(grams.intersection(t)) >= L.CONFIRM * len(t)]
+    return family, score, family != L.UNKNOWN and score >= L.LEAST and bool(sure)
+
+
+PLANTED = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_planted_lines_are_found_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: ",".join(sorted({PLANTED[x] for x in (r.text or "").split("\n") if x in PLANTED})) for r in docs.collect()}
+    got = {r.doc_id: r.families for r in L.scan(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) > 5
+
+
+def test_gate_lets_every_confirmable_text_pass(spark):
+    texts = [b for _, bodies in L.BODIES.items() for b in bodies] + [n for names in L.NAMES.values() for n in names]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert d.where(~L.gated(L.F.col("text"))).collect() == []
+    for _, _, t in L.templates():
+        left = [g for g in t if not any(w in x for x in g.split() for w in L.gate_words()) and not any(w in g for w in L.ANCHORS)]
+        assert len(left) < L.CONFIRM * len(t)
+
+
 def test_plan_matches_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(10**6 + i, "some words\n" + x + "\nmore words") for i, x in enumerate([*LINES, *UNRELATED])], "doc_id long, text string")
@@ -28,7 +72,7 @@ def test_plan_matches_plain_python(spark, sf):
     want = {}
     for r in both.collect():
         lines = [x for x in (r.text or "").split("\n") if any(a in x.lower() for a in L.ANCHORS)]
-        got = [L.predict_one(x) for x in lines]
+        got = [judged(x) for x in lines]
         sure = [g for g in got if g[2]]
         want[r.doc_id] = (len(lines), len(sure), ",".join(sorted({g[0] for g in sure})), round(max((g[1] for g in sure), default=0.0), 9))
     found = {r.doc_id: (r.n_candidates, r.n_confirmed, r.families, round(r.best_score, 9)) for r in L.scan(both).collect()}
