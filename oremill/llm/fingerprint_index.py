@@ -8,11 +8,14 @@ candidates, and their windows are verified word by word.  Two runs of one level
 compacted into one of the next, so that a batch meets few runs.
 
 Every word that a repeated window covers is removed, at all its places.  Fragments count as
-equal where two independent 64-bit hashes and the length agree; all other windows are
-compared by their words.
+equal where minimiser and fragment agree in two 64-bit hashes; windows of different fragments are
+compared by their words.  A minimiser of very many different fragments is dealt out over the buckets
+(`repeats.homes`), and its own bucket keeps a mark.
 
 Rows with a null doc_id are left out, null text has no words, repeated rows count once and
-get equal results.  A doc_id must not come back in a later batch with another text.
+get equal results; so does a row that comes back in a later batch.  A doc_id must not come back with
+another text.  A very long text is one slice and costs some 40 times its bytes in its worker.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .repeats import (
-    BLOB_SCHEMA, BLOCK_BYTES, CAND, DIGEST_SCHEMA, FLUSH, GROUP, SPAN, SPAN_SCHEMA, blob_batch, candidates, dealt, fragment_rows,
-    gathered, in_flushes, in_order, list_rows, span_batch, union_by_doc, with_lists,
+    BLOB_SCHEMA, BLOCK_BYTES, CAND, DIGEST_SCHEMA, FLUSH, GROUP, HOT, SPAN, SPAN_SCHEMA, blob_batch, candidates, dealt, dealt_out, fragment_rows,
+    gathered, homes, in_flushes, in_order, list_rows, span_batch, union_by_doc, with_lists,
 )
-from .shared import Stage, binary_text, buckets
+from .shared import Stage, binary_text, buckets, meet, met
 from .winnow import FRAGMENT
 
 WINDOW, GRAM = 35, 8
@@ -54,33 +57,25 @@ def folded(f: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return f, spans
 
 
-def send(window: int, gram: int, n_buckets: int):
+def send(window: int, gram: int, n_buckets: int, hot: int):
     def run(batches):
         for f in in_flushes(fragment_rows(batches, "words", window, gram), FLUSH):
             f, spans = folded(f, window)
-            rows = [(b, x.tobytes(), b"") for b, x in dealt(A.mix(f["mh"]), n_buckets, f)]
+            f, own = homes(f, hot)
+            rows = [(b, x.tobytes(), b"") for b, x in dealt(own, n_buckets, f)]
             rows += [(b, b"", x.tobytes()) for b, x in dealt(A.mix(spans["doc"].astype(np.uint64)), n_buckets, spans)]
             yield blob_batch(rows)
 
     return run
 
 
-def per_bucket(batches):
-    """(bucket, arrays) for each bucket of a task."""
-    got: dict[int, list] = {}
-    for batch in batches:
-        for b, *vals in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            got.setdefault(b, []).append(vals)
-    yield from got.items()
-
-
 def make_run(window: int):
     """One sorted row of fingerprints for each bucket, with spans that are certain within the batch."""
 
     def run(batches):
-        for b, rows in per_bucket(batches):
-            f, more = folded(np.frombuffer(b"".join(r[0] for r in rows), FRAGMENT).copy(), window)
-            spans = np.concatenate([np.frombuffer(b"".join(r[1] for r in rows), SPAN), more])
+        for b, (body, sure) in met(batches, "body", "spans"):
+            f, more = folded(np.frombuffer(b"".join(body), FRAGMENT).copy(), window)
+            spans = np.concatenate([np.frombuffer(b"".join(sure), SPAN), more])
             yield blob_batch([(b, f.tobytes(), union_by_doc(spans["doc"], spans["start"], spans["stop"]).tobytes())])
 
     return run
@@ -100,20 +95,28 @@ def compact(window: int):
     return run
 
 
-def merge_join(window: int, n_old: int, group: int):
+def merge_join(window: int, n_old: int, n_buckets: int, group: int):
     """A new run against the older ones: spans of equal fragments, candidates where only minimisers agree."""
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ["body", "spans", *(f"old{i}" for i in range(n_old))]]
-            for body, spans, *old in zip(*cols):
+            for row in range(batch.num_rows):
+                bucket, body, spans, *old = (batch.column(c)[row].as_py() for c in ["bucket", "body", "spans", *(f"old{i}" for i in range(n_old))])
                 new = np.frombuffer(body, FRAGMENT)
                 past = np.concatenate([np.frombuffer(x or b"", FRAGMENT) for x in old]) if old else new[:0]
                 past = past[np.isin(past["mh"], new["mh"])]
                 f = np.concatenate([past, new])
                 recent = np.arange(len(f)) >= len(past)
-                order = np.lexsort((f["pos"], f["doc"], f["fh"], f["mh"]))
+                order = np.lexsort((recent, f["pos"], f["doc"], f["fh"], f["mh"]))
                 f, recent = f[order], recent[order]
+                again = np.zeros(len(f), bool)  # a row that came in before is no repeat of itself
+                if len(f):
+                    again[1:] = (f["mh"][1:] == f["mh"][:-1]) & (f["fh"][1:] == f["fh"][:-1]) & (f["doc"][1:] == f["doc"][:-1]) & (f["pos"][1:] == f["pos"][:-1]) & (f["n"][1:] > 0)
+                f, recent = f[~again], recent[~again]
+                far, mark = dealt_out(f, bucket, n_buckets), f["n"] == 0
+                # a minimiser that this batch deals out for the first time makes candidates of its older fragments
+                fresh_mark = np.isin(f["mh"], np.setdiff1d(f["mh"][mark & recent], f["mh"][mark & ~recent]))
+                f, recent, far, fresh_mark = f[~mark], recent[~mark], far[~mark], fresh_mark[~mark]
                 new_mh = np.ones(len(f), bool)
                 new_mh[1:] = f["mh"][1:] != f["mh"][:-1]
                 new_fh = new_mh.copy()
@@ -122,11 +125,15 @@ def merge_join(window: int, n_old: int, group: int):
                 size = np.diff(np.append(head, len(f)))
                 found = np.concatenate([np.frombuffer(spans, SPAN), word_spans(f[np.repeat(size > 1, size)], window)])
                 f, mh, recent = f[new_fh], new_mh[new_fh], np.add.reduceat(recent.astype(np.int64), head) == size if len(head) else recent
+                far, fresh_mark = far[new_fh], fresh_mark[new_fh]
                 edge = np.flatnonzero(mh)
                 kinds = np.diff(np.append(edge, len(f)))
                 fresh = np.add.reduceat(recent.astype(np.int64), edge) > 0 if len(edge) else recent
-                keep = np.repeat((kinds > 1) & fresh, kinds) | (f["twice"] & recent)
-                yield span_batch(union_by_doc(found["doc"], found["start"], found["stop"]), candidates(f[keep], mh[keep] if keep.any() else mh[:0], window, group))
+                keep = np.repeat((kinds > 1) & fresh, kinds) | (f["twice"] & recent) | (far & recent) | fresh_mark
+                f, far = f[keep], far[keep]
+                mh = np.ones(len(f), bool)
+                mh[1:] = f["mh"][1:] != f["mh"][:-1]
+                yield span_batch(union_by_doc(found["doc"], found["start"], found["stop"]), candidates(f, mh, window, group, far, bucket))
 
     return run
 
@@ -212,102 +219,120 @@ def verify_block(c: np.ndarray, data: np.ndarray, begin: np.ndarray, window: int
 
 def verify(window: int):
     def run(batches):
-        c, data = [], []
-        for batch in batches:
-            body, _ = A.column_bytes(batch.column("body"))
-            text, _ = A.column_bytes(batch.column("spans"))
-            c.append(np.frombuffer(body.tobytes(), CAND))
-            data.append(text.copy())
-        c = np.concatenate(c) if c else np.zeros(0, CAND)
-        data = np.concatenate(data) if data else np.zeros(0, np.uint8)
-        begin = np.cumsum(c["size"], dtype=np.int64) - c["size"]
-        order = np.argsort(c["grp"], kind="stable")
-        c, begin = c[order], begin[order]
-        edge = np.append(np.flatnonzero(np.append(True, c["grp"][1:] != c["grp"][:-1])), len(c)) if len(c) else np.zeros(1, int)
-        ends = np.cumsum(c["size"], dtype=np.int64)
-        k = 0
-        while k < len(edge) - 1:
-            a, j = edge[k], k + 1
-            while j < len(edge) - 1 and ends[edge[j + 1] - 1] - (ends[a - 1] if a else 0) <= BLOCK_BYTES:
-                j += 1
-            b, k = edge[j], j
-            (doc, pos), (ldoc, lpos, h) = verify_block(c[a:b], data, begin[a:b], window)
-            spans = union_by_doc(doc, pos, pos + window)
-            m, r = len(spans), len(ldoc)
-            none = np.concatenate([np.ones(m, bool), np.zeros(r, bool)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([spans["doc"], ldoc])), pa.array(np.concatenate([spans["start"], lpos])), pa.array(np.concatenate([spans["stop"], lpos + window])),
-                    pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 0]]), mask=none), pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 1]]), mask=none),
-                ],
-                ["doc_id", "start", "stop", "h1", "h2"],
-            )
+        for _, (cands, texts) in met(batches, "body", "spans"):
+            c, data = np.frombuffer(b"".join(cands), CAND), np.frombuffer(b"".join(texts), np.uint8)
+            begin = np.cumsum(c["size"], dtype=np.int64) - c["size"]
+            order = np.argsort(c["grp"], kind="stable")
+            c, begin = c[order], begin[order]
+            edge = np.append(np.flatnonzero(np.append(True, c["grp"][1:] != c["grp"][:-1])), len(c)) if len(c) else np.zeros(1, int)
+            ends = np.cumsum(c["size"], dtype=np.int64)
+            k = 0
+            while k < len(edge) - 1:
+                a, j = edge[k], k + 1
+                while j < len(edge) - 1 and ends[edge[j + 1] - 1] - (ends[a - 1] if a else 0) <= BLOCK_BYTES:
+                    j += 1
+                b, k = edge[j], j
+                (doc, pos), (ldoc, lpos, h) = verify_block(c[a:b], data, begin[a:b], window)
+                spans = union_by_doc(doc, pos, pos + window)
+                m, r = len(spans), len(ldoc)
+                none = np.concatenate([np.ones(m, bool), np.zeros(r, bool)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([spans["doc"], ldoc])), pa.array(np.concatenate([spans["start"], lpos])), pa.array(np.concatenate([spans["stop"], lpos + window])),
+                        pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 0]]), mask=none), pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 1]]), mask=none),
+                    ],
+                    ["doc_id", "start", "stop", "h1", "h2"],
+                )
 
     return run
 
 
 class FingerprintIndex:
-    """Immutable runs of fingerprints, oldest first; `add` matches and takes in a batch."""
+    """Immutable runs of fingerprints, oldest first.  `add` matches a batch with them and takes it in; `resolve` verifies what
+    batches gave by their words.  A named index lasts: `open` finds its runs in the catalog again."""
 
-    def __init__(self, spark, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, n_buckets: int = 256):
-        if window < gram:
-            raise ValueError("a window is as long as a gram at least")
+    def __init__(self, spark, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, n_buckets: int = 256, name: str | None = None, hot: int = HOT):
+        if not 0 < gram <= window:
+            raise ValueError("a gram has a word, and a window is as long as a gram at least")
         self.spark, self.window, self.gram, self.group = spark, window, gram, group
         self.n, self.tables = n_buckets, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[tuple[int, str]] = []
-        self.stage, self.name = Stage(spark), f"oremill_run_{uuid.uuid4().hex}"
-        self.made = 0
-
-    def _table(self, df: DataFrame) -> str:
-        name = f"{self.name}_{self.made}"
+        self.stage, self.name = Stage(spark), name or f"oremill_run_{uuid.uuid4().hex}"
+        self.made, self.hot = 0, hot
+        if name:
+            spark.createDataFrame([(window, gram, group, n_buckets, self.tables, hot)], "window int, gram int, grp int, buckets int, tables int, hot int").write.saveAsTable(f"{name}_options")
+
+    @classmethod
+    def open(cls, spark, name: str) -> FingerprintIndex:
+        """The index that was made under this name."""
+        o = spark.table(f"{name}_options").first()
+        index = cls(spark, o.window, o.gram, o.grp, o.buckets, hot=o.hot)
+        index.name, index.tables = name, o.tables
+        found = [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}_run")]
+        for made, level, table in sorted((*map(int, t.removeprefix(f"{name}_run").split("_")), t) for t in found):
+            index.runs.append((level, table))
+            index.made = made + 1
+        return index
+
+    def _table(self, df: DataFrame, level: int) -> str:
+        name = f"{self.name}_run{self.made}_{level}"
         self.made += 1
         df.write.bucketBy(self.tables, "bucket").sortBy("bucket").saveAsTable(name)
         return name
 
     def _compact(self) -> None:
         while len(self.runs) > 1 and self.runs[-1][0] >= self.runs[-2][0]:
-            (level, a), (_, b) = self.runs.pop(), self.runs.pop()
+            (level, a), (_, b) = self.runs[-1], self.runs[-2]
             old = self.spark.table(b).select("bucket", F.col("body").alias("older"))
             both = self.spark.table(a).select("bucket", "body").hint("merge").join(old, "bucket", "full")
-            self.runs.append((level + 1, self._table(both.mapInArrow(compact(self.window), BLOB_SCHEMA))))
+            self.runs[-2:] = [(level + 1, self._table(both.mapInArrow(compact(self.window), BLOB_SCHEMA), level + 1))]
             for t in (a, b):
                 self.spark.sql(f"drop table {t}")
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Spans (grp null) and unverified candidates that this batch gives, for its own and older texts."""
+        """Spans (grp null) and candidates, for `resolve`, that this batch gives for its own and older texts."""
         self._compact()
-        sent = binary_text(docs).mapInArrow(send(self.window, self.gram, self.n), BLOB_SCHEMA).repartition(self.tables, "bucket")
-        run = self._table(sent.mapInArrow(make_run(self.window), BLOB_SCHEMA))
+        sent = binary_text(docs).mapInArrow(send(self.window, self.gram, self.n, self.hot), BLOB_SCHEMA).repartition(self.tables, "bucket").sortWithinPartitions("bucket")
+        run = self._table(sent.mapInArrow(make_run(self.window), BLOB_SCHEMA), 0)
         df = self.spark.table(run)
         for i, (_, name) in enumerate(self.runs):
             df = df.hint("merge").join(self.spark.table(name).select("bucket", F.col("body").alias(f"old{i}")), "bucket", "left")
-        found = self.stage.write(df.mapInArrow(merge_join(self.window, len(self.runs), self.group), SPAN_SCHEMA))
+        found = self.stage.write(df.mapInArrow(merge_join(self.window, len(self.runs), self.n, self.group), SPAN_SCHEMA))
         self.runs.append((0, run))
         return found
 
-    def close(self) -> None:
+    def resolve(self, found: DataFrame, docs: DataFrame) -> DataFrame:
+        """(doc_id, start, stop) of repeated words, from what one or more batches gave.  docs: all documents that went in;
+        only those with candidates are read out."""
+        cands = found.where("grp is not null").groupBy("doc_id", "start", "stop", "grp", "n").agg(F.max("hot").alias("hot"))
+        words = meet(with_lists(binary_text(docs), cands, ["start", "stop", "grp", "hot", "n"], "inner").mapInArrow(send_words(self.n), BLOB_SCHEMA))
+        verified = self.stage.write(words.mapInArrow(verify(self.window), DIGEST_SCHEMA))
+        leads = verified.where("h1 is not null").select("doc_id", "start", "stop", "h1", "h2").distinct()
+        again = leads.groupBy("h1", "h2").count().where("count > 1")
+        sure = found.where("grp is null").select("doc_id", "start", "stop").unionByName(verified.where("h1 is null").select("doc_id", "start", "stop"))
+        return sure.unionByName(leads.join(again, ["h1", "h2"]).select("doc_id", "start", "stop"))
+
+    def drop(self) -> None:
+        """Delete the index with its runs."""
         for _, t in self.runs:
-            self.spark.sql(f"drop table {t}")
+            self.spark.sql(f"drop table if exists {t}")
+        self.spark.sql(f"drop table if exists {self.name}_options")
         self.runs = []
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4, group: int = GROUP) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """(doc_id, start, stop) in words: windows whose words also stand elsewhere.  The documents go through a
     new index in `batches` parts (by a hash of doc_id)."""
-    index = FingerprintIndex(docs.sparkSession, window, gram, group, buckets(docs))
+    index = FingerprintIndex(docs.sparkSession, window, gram, group, buckets(docs), hot=hot)
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches))
-    found = [index.add(docs.where(part == b)) for b in range(batches)]
-    index.close()
+    try:
+        found = [index.add(docs.where(part == b)) for b in range(batches)]
+    finally:
+        index.drop()
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    cands = every.where("grp is not null").groupBy("doc_id", "start", "stop", "grp", "n").agg(F.max("hot").alias("hot"))
-    words = with_lists(binary_text(docs), cands, ["start", "stop", "grp", "hot", "n"], "inner").mapInArrow(send_words(index.n), BLOB_SCHEMA).repartition("bucket")
-    verified = index.stage.write(words.mapInArrow(verify(window), DIGEST_SCHEMA))
-    leads = verified.where("h1 is not null").select("doc_id", "start", "stop", "h1", "h2").distinct()
-    again = leads.groupBy("h1", "h2").count().where("count > 1")
-    sure = every.where("grp is null").select("doc_id", "start", "stop").unionByName(verified.where("h1 is null").select("doc_id", "start", "stop"))
-    return sure.unionByName(leads.join(again, ["h1", "h2"]).select("doc_id", "start", "stop"))
+    return index.resolve(every, docs)
 
 
 def cut_words(text: bool):

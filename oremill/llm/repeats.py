@@ -5,15 +5,22 @@ Plan (all steps linear in the text):
 1. Texts are cut into fragments of windows with one minimiser (`winnow`).  Each task first
    settles equal fragments among its own rows, so of a fragment that a third of all texts
    hold, a task sends one row.
-2. Fragments meet by minimiser.  All but the first of equal fragments are repeats as a whole.
-   Different fragments with one minimiser become candidates, in groups of bounded size.
+2. Fragments meet by minimiser, one bucket of minimisers in memory at a time.  All but the first of equal
+   fragments are repeats as a whole.  Different fragments with one minimiser become candidates, in groups of
+   bounded size.  A minimiser of more than HOT different fragments in one task's batch (a phrase in
+   very many texts) is dealt out by fragment, and its own bucket is told so.
 3. The bytes of candidates are compared in blocks: the BWT interval expansion in `bwt` gives
    the classes of equal windows.  Where a minimiser has more than one group, each group's
    first windows meet once more by a 128-bit digest.
 4. The spans of each text meet its bytes again, and are cut out.
 
+Fragments count as equal where minimiser and fragment agree in two 64-bit hashes; windows of different
+fragments are compared by their bytes.
+
 Rows with a null doc_id are left out; null text is empty.  A repeated row is taken once and
-gets the same spans as its twin; so do rows that share a doc_id with unequal texts.
+gets the same spans as its twin; so do rows that share a doc_id with unequal texts.  Of equal strings the
+one at the smallest (doc_id, start) stays.  A very long text is one slice and costs some 40 times its bytes in its
+worker.  Columns other than doc_id and text are not read (`stripped` hands them on, and refuses one named spans).
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .bwt import repeat_classes
-from .shared import Stage, binary_text, buckets
+from .shared import Stage, binary_text, buckets, meet, met
 from .winnow import FRAGMENT, fragments
 
 #: Fragments of one minimiser that are compared in one block.
 GROUP = 512
 #: Fragments that a task holds before it settles and sends them.
 FLUSH = 250_000
+#: Different fragments of one minimiser in a task's batch from which on they are dealt out one by one.
+HOT = 64
 #: Bytes of candidates that one BWT covers.
 BLOCK_BYTES = 1 << 19
 
@@ -117,7 +126,27 @@ def blob_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), pa.array(spans, pa.binary())], ["bucket", "body", "spans"])
 
 
-def send_fragments(window: int, gram: int, n_buckets: int):
+def homes(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different fragments in order, with a mark (n = 0) for each minimiser that has more than `most`; and each row's number,
+    whose rest by n_buckets is its bucket: by minimiser, but for fragments of marked ones by fragment."""
+    new = np.ones(len(f), bool)
+    new[1:] = f["mh"][1:] != f["mh"][:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(f)))
+    hot = np.repeat(size > most, size)
+    marks = np.zeros(int((size > most).sum()), FRAGMENT)
+    marks["mh"] = f["mh"][head[size > most]]
+    own = np.where(hot, A.mix(f["mh"] ^ A.mix(f["fh"])), A.mix(f["mh"]))
+    return np.concatenate([f, marks]), np.concatenate([own, A.mix(marks["mh"])])
+
+
+def dealt_out(f: np.ndarray, bucket: int, n_buckets: int) -> np.ndarray:
+    """Which rows of a bucket have a minimiser some of whose fragments are in other buckets."""
+    marked = np.unique(f["mh"][f["n"] == 0])
+    return np.isin(f["mh"], marked) | (A.mix(f["mh"]) % np.uint64(n_buckets) != np.uint64(bucket))
+
+
+def send_fragments(window: int, gram: int, n_buckets: int, hot: int = HOT):
     """Step 1: blobs of first fragments by minimiser, and spans that are settled already."""
 
     def run(batches):
@@ -125,7 +154,8 @@ def send_fragments(window: int, gram: int, n_buckets: int):
             f, _, first = in_order(f)
             late = f[~first]
             spans = union_by_doc(late["doc"], late["pos"].astype(np.int64), late["pos"].astype(np.int64) + late["n"] + (window - 1))
-            rows = [(b, x.tobytes(), b"") for b, x in dealt(A.mix(f["mh"][first]), n_buckets, f[first])]
+            f, own = homes(f[first], hot)
+            rows = [(b, x.tobytes(), b"") for b, x in dealt(own, n_buckets, f)]
             rows += [(b, b"", x.tobytes()) for b, x in dealt(A.mix(spans["doc"].astype(np.uint64)), n_buckets, spans)]
             yield blob_batch(rows)
 
@@ -148,51 +178,48 @@ def span_batch(spans: np.ndarray, cands: np.ndarray | None = None) -> pa.RecordB
     )
 
 
-def candidates(f: np.ndarray, new_mh: np.ndarray, window: int, group: int = GROUP) -> np.ndarray:
-    """Candidate rows of fragments that lie in the order of `in_order`; groups hold `group` fragments at most."""
+def candidates(f: np.ndarray, new_mh: np.ndarray, window: int, group: int = GROUP, out_of: np.ndarray | None = None, bucket: int = 0) -> np.ndarray:
+    """Candidate rows of fragments that lie in the order of `in_order`; groups hold `group` fragments at most.
+    out_of: rows whose minimiser is in other buckets too, where it has groups of its own."""
     out = np.empty(len(f), CAND)
     if len(f):
         head = np.maximum.accumulate(np.where(new_mh, np.arange(len(f)), 0))
         sub = (np.arange(len(f)) - head) // group
         total = np.diff(np.append(np.flatnonzero(new_mh), len(f)))
-        out["grp"] = A.mix(f["mh"] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        out["grp"] = A.mix(f["mh"] + A.mix(sub.astype(np.uint64) + np.uint64(bucket << 32))).view(np.int64)
         out["hot"] = np.repeat(total > group, total)
+        if out_of is not None:
+            out["hot"] |= out_of
         out["doc"], out["pos"], out["n"], out["size"] = f["doc"], f["pos"], f["n"], f["n"] + (window - 1)
     return out
 
 
-def bodies(batches, kinds: list[np.dtype], names: list[str]):
-    got = [[] for _ in names]
-    for batch in batches:
-        for k, (name, kind) in enumerate(zip(names, kinds)):
-            data, _ = A.column_bytes(batch.column(name))
-            got[k].append(np.frombuffer(data.tobytes(), kind))
-    return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(got, kinds)]
-
-
-def settle_fragments(window: int, group: int = GROUP):
+def settle_fragments(window: int, n_buckets: int, group: int = GROUP):
     """Step 2: later twins of fragments are repeats; fragments that differ under one minimiser, or hold it
     twice, are candidates."""
 
     def run(batches):
-        f, spans = bodies(batches, [FRAGMENT, SPAN], ["body", "spans"])
-        f, _, first = in_order(f)
-        late = f[~first]
-        spans = np.concatenate([spans, union_by_doc(late["doc"], late["pos"].astype(np.int64), late["pos"].astype(np.int64) + late["n"] + (window - 1))])
-        f = f[first]
-        new_mh = np.ones(len(f), bool)
-        new_mh[1:] = f["mh"][1:] != f["mh"][:-1]
-        size = np.diff(np.append(np.flatnonzero(new_mh), len(f)))
-        keep = np.repeat(size > 1, size) | f["twice"]
-        yield span_batch(union_by_doc(spans["doc"], spans["start"], spans["stop"]), candidates(f[keep], new_mh[keep], window, group))
+        for bucket, (body, more) in met(batches, "body", "spans"):
+            f, spans = np.frombuffer(b"".join(body), FRAGMENT), np.frombuffer(b"".join(more), SPAN)
+            f, _, first = in_order(f)
+            late = f[~first]
+            spans = np.concatenate([spans, union_by_doc(late["doc"], late["pos"].astype(np.int64), late["pos"].astype(np.int64) + late["n"] + (window - 1))])
+            f = f[first]
+            far = dealt_out(f, bucket, n_buckets)
+            f, far = f[f["n"] > 0], far[f["n"] > 0]
+            new_mh = np.ones(len(f), bool)
+            new_mh[1:] = f["mh"][1:] != f["mh"][:-1]
+            size = np.diff(np.append(np.flatnonzero(new_mh), len(f)))
+            keep = np.repeat(size > 1, size) | f["twice"] | far
+            yield span_batch(union_by_doc(spans["doc"], spans["start"], spans["stop"]), candidates(f[keep], new_mh[keep], window, group, far[keep], bucket))
 
     return run
 
 
 def with_lists(docs: DataFrame, spans: DataFrame, fields: list[str], how: str) -> DataFrame:
-    """docs joined to the list of their spans.  The lists are the side that is held in memory."""
+    """docs joined to the list of their spans, by a merge join, which spills what memory can't hold."""
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("spans"))
-    return docs.join(lists.hint("shuffle_hash"), "doc_id", how)
+    return docs.join(lists.hint("merge"), "doc_id", how)
 
 
 def list_rows(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -291,35 +318,29 @@ def compare_candidates(window: int):
     """Step 3b: the BWT comparison, block by block."""
 
     def run(batches):
-        cs, datas = [], []
-        for batch in batches:
-            body, boff = A.column_bytes(batch.column("body"))
-            data, _ = A.column_bytes(batch.column("spans"))
-            cs.append(np.frombuffer(body.tobytes(), CAND))
-            datas.append(data.copy())
-        c = np.concatenate(cs) if cs else np.zeros(0, CAND)
-        data = np.concatenate(datas) if datas else np.zeros(0, np.uint8)
-        begin = np.cumsum(c["size"], dtype=np.int64) - c["size"]
-        c, begin = once(c, data, begin)
-        edge = np.append(np.flatnonzero(np.append(True, c["grp"][1:] != c["grp"][:-1])), len(c)) if len(c) else np.zeros(1, int)
-        ends = np.cumsum(c["size"], dtype=np.int64)
-        k = 0
-        while k < len(edge) - 1:
-            a, j = edge[k], k + 1
-            while j < len(edge) - 1 and ends[edge[j + 1] - 1] - (ends[a - 1] if a else 0) <= BLOCK_BYTES:
-                j += 1
-            b, k = edge[j], j
-            (doc, pos), (ldoc, lpos, h) = compare_block(c[a:b], data, begin[a:b], window)
-            spans = union_by_doc(doc, pos, pos + window)
-            m, r = len(spans), len(ldoc)
-            none = np.concatenate([np.ones(m, bool), np.zeros(r, bool)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([spans["doc"], ldoc])), pa.array(np.concatenate([spans["start"], lpos])), pa.array(np.concatenate([spans["stop"], lpos + window])),
-                    pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 0]]), mask=none), pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 1]]), mask=none),
-                ],
-                ["doc_id", "start", "stop", "h1", "h2"],
-            )
+        for _, (cands, texts) in met(batches, "body", "spans"):
+            c, data = np.frombuffer(b"".join(cands), CAND), np.frombuffer(b"".join(texts), np.uint8)
+            begin = np.cumsum(c["size"], dtype=np.int64) - c["size"]
+            c, begin = once(c, data, begin)
+            edge = np.append(np.flatnonzero(np.append(True, c["grp"][1:] != c["grp"][:-1])), len(c)) if len(c) else np.zeros(1, int)
+            ends = np.cumsum(c["size"], dtype=np.int64)
+            k = 0
+            while k < len(edge) - 1:
+                a, j = edge[k], k + 1
+                while j < len(edge) - 1 and ends[edge[j + 1] - 1] - (ends[a - 1] if a else 0) <= BLOCK_BYTES:
+                    j += 1
+                b, k = edge[j], j
+                (doc, pos), (ldoc, lpos, h) = compare_block(c[a:b], data, begin[a:b], window)
+                spans = union_by_doc(doc, pos, pos + window)
+                m, r = len(spans), len(ldoc)
+                none = np.concatenate([np.ones(m, bool), np.zeros(r, bool)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([spans["doc"], ldoc])), pa.array(np.concatenate([spans["start"], lpos])), pa.array(np.concatenate([spans["stop"], lpos + window])),
+                        pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 0]]), mask=none), pa.array(np.concatenate([np.zeros(m, np.int64), h[:, 1]]), mask=none),
+                    ],
+                    ["doc_id", "start", "stop", "h1", "h2"],
+                )
 
     return run
 
@@ -374,7 +395,7 @@ def cut_rows(names: list[str]):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """(doc_id, start, stop): byte spans covered by strings of `window` bytes that also start earlier (at a
     smaller doc_id, or before in the same text).  Spans of one text may overlap."""
     if window < 16:
@@ -382,10 +403,10 @@ def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP) -> Da
     spark = docs.sparkSession
     stage, n, gram = Stage(spark), buckets(docs), max(8, min(32, window // 3))
     texts = binary_text(docs)
-    sent = texts.mapInArrow(send_fragments(window, gram, n), BLOB_SCHEMA).repartition("bucket")
-    found = stage.write(sent.mapInArrow(settle_fragments(window, group), SPAN_SCHEMA))
+    sent = meet(texts.mapInArrow(send_fragments(window, gram, n, hot), BLOB_SCHEMA))
+    found = stage.write(sent.mapInArrow(settle_fragments(window, n, group), SPAN_SCHEMA))
     cands = with_lists(texts, found.where("grp is not null"), ["start", "stop", "grp", "hot", "n"], "inner")
-    blobs = cands.mapInArrow(send_candidates(n), BLOB_SCHEMA).repartition("bucket")
+    blobs = meet(cands.mapInArrow(send_candidates(n), BLOB_SCHEMA))
     compared = stage.write(blobs.mapInArrow(compare_candidates(window), DIGEST_SCHEMA))
     leads = compared.where("h1 is not null")
     firsts = leads.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
@@ -393,8 +414,8 @@ def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP) -> Da
     return found.where("grp is null").select("doc_id", "start", "stop").unionByName(compared.where("h1 is null").select("doc_id", "start", "stop")).unionByName(later.select("doc_id", "start", "stop"))
 
 
-def with_spans(docs: DataFrame, window: int, group: int = GROUP, *keep: str) -> DataFrame:
-    return with_lists(binary_text(docs, *keep), repeated_spans(docs, window, group), ["start", "stop"], "left")
+def with_spans(docs: DataFrame, window: int, group: int = GROUP, hot: int = HOT, keep: list[str] = []) -> DataFrame:
+    return with_lists(binary_text(docs, *keep), repeated_spans(docs, window, group, hot), ["start", "stop"], "left")
 
 
 def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -410,9 +431,9 @@ def stripped(docs: DataFrame, window: int = 100) -> DataFrame:
         raise ValueError("a column must not be named spans")
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in others), "n_removed long"])
-    return with_spans(docs, window, GROUP, *others).mapInArrow(cut_rows(["doc_id", "text", *others]), schema)
+    return with_spans(docs, window, keep=others).mapInArrow(cut_rows(["doc_id", "text", *others]), schema)
 
 
-def repeat_report(docs: DataFrame, window: int = 100, group: int = GROUP) -> DataFrame:
+def repeat_report(docs: DataFrame, window: int = 100, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    return with_spans(docs, window, group).mapInArrow(cut_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, window, group, hot).mapInArrow(cut_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

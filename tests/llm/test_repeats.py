@@ -91,3 +91,20 @@ def test_repeated_rows_keep_what_occurs_once(spark):
         twice = spark.createDataFrame([*rows, *rows[:6], rows[0], *rows[-2:]], "doc_id long, text string").repartition(5)
         got = repeat_report(twice, 100, group).collect()
         assert len(got) == len(rows) + 9 and all(tuple(r) == want[r.doc_id] for r in got)
+
+
+def test_a_phrase_in_very_many_texts(spark):
+    phrase = "a phrase that stands in a third of all texts of this table, of sixty bytes."
+    own = lambda i, k: " ".join(f"{i}w{j * i}" for j in range(k))
+    rows = [(i, f"{own(i, 12)} {phrase if i % 3 else phrase * 2} {own(i + 1, 9 + i % 4)}") for i in range(200)] + [(200, own(5, 12) + " " + phrase)]
+    f = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot, group in ((4, 3), (4, 512), (10**6, 512)):
+        assert {r[0]: tuple(r) for r in repeat_report(f, 60, group, hot).collect()} == brute(rows, 60)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    body = "".join(f"{i} " for i in range(260_000))  # more than one slice, without a repeat of 100 bytes
+    rows = [(1, body), (2, body[5000:700_000]), (3, "x" + body[-300:])]
+    f = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, start string, grp int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeat_report(f).collect()}
+    assert got == {1: (len(body), 0), 2: (695_000, 695_000), 3: (301, 300)}
