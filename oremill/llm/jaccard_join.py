@@ -9,13 +9,18 @@ order of all tokens.  Three orders are used, each with rare tokens first and its
    triple of its groups, so texts stay together only where all orders allow it.
 3. Families are verified in blocks of bounded size: sets are compared exactly, and a block
    hands on a spanning forest of its links, never its pairs.
-4. Components of the links, with texts of equal sets hung on one of them, are the result.
+4. Components of the links between different sets, with texts of equal sets hung on them, are the result.  Of
+   equal sets a task sends one (its lead); the others follow their task's lead and never meet.
 
 Short texts (up to SHORT shingles) count all their tokens, longer ones a part; texts near the
 border take part in both, so no link is lost between them.
 
+Sets are compared by 64-bit hashes of their shingles, and count as equal where 128 bits over these agree.
+
 Rows with a null doc_id are left out.  Texts without words, and null, link with nothing.
-Repeated rows give repeated, equal results.
+Repeated rows give repeated, equal results; of rows that share a doc_id but not their text each is linked,
+under the one number.  A very long text is one slice and costs some 40 times its bytes in its worker.  Columns other than
+doc_id and text are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .components import EDGE_SCHEMA, components, edge_batch, forest
 from .repeats import dealt, with_lists
-from .shared import Stage, binary_text, buckets
+from .shared import Stage, binary_text, buckets, meet, met
 
 SHORT = 128
 #: Tokens that a task holds before it sends them.
@@ -41,7 +46,7 @@ ORDERS = 3
 #: Bytes of input whose tasks' forests are merged into one.
 MERGED = 512 << 20
 
-BASE = np.dtype([("doc", "<i8"), ("n", "<i4"), ("low", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("lead", "?")])
+BASE = np.dtype([("doc", "<i8"), ("n", "<i4"), ("low", "<i4"), ("h1", "<i8"), ("h2", "<i8"), ("to", "<i8"), ("lead", "?")])
 BLOB_SCHEMA = "bucket int, body binary, extra binary"
 
 
@@ -74,14 +79,6 @@ def blobs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary())], ["bucket", "body", "extra"])
 
 
-def column(batches, *names: str):
-    out = [[] for _ in names]
-    for batch in batches:
-        for k, name in enumerate(names):
-            out[k] += [x for x in batch.column(name).to_pylist() if x]
-    return out
-
-
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one text after the other, and their n + 1 offsets."""
     data = A.LOWER[data]
@@ -111,7 +108,7 @@ def send_tokens(size: int, num: int, den: int, n_buckets: int):
     least = -(-num * SHORT // den)
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         held: list[tuple] = []
 
         def flush():
@@ -131,10 +128,9 @@ def send_tokens(size: int, num: int, den: int, n_buckets: int):
                 dig = [xxhash.xxh3_128_digest(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
                 h = np.frombuffer(b"".join(dig), "<i8").reshape(-1, 2)
                 base["h1"], base["h2"] = h[:, 0], h[:, 1]
-                for i, (d, k) in enumerate(zip(dig, n.tolist())):
-                    if k and d not in seen:  # the first text of a set in this task speaks for the others
-                        seen.add(d)
-                        base["lead"][i] = True
+                for i, (d, doc) in enumerate(zip(dig, ids[a:b].tolist())):
+                    base["lead"][i] = n[i] > 0 and d not in seen  # the first text of a set in this task speaks for the others
+                    base["to"][i] = seen.setdefault(d, doc) if n[i] else doc
                 row = np.repeat(np.arange(b - a), n)
                 low = flat <= part
                 base["low"] = np.bincount(row[low], minlength=b - a)
@@ -161,18 +157,18 @@ def count_tokens(n_buckets: int):
     """Tokens of two texts or more with their counts, dealt by text."""
 
     def run(batches):
-        body, extra = column(batches, "body", "extra")
-        t, doc, kind = unpacked(body, ["<u8", "<i8", "u1"])
-        order = np.argsort(t, kind="stable")
-        t, doc, kind = t[order], doc[order], kind[order]
-        head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
-        size = np.diff(np.append(head, len(t)))
-        df = np.repeat(size, size)
-        keep = df > 1
-        t, doc, kind, df = t[keep], doc[keep], kind[keep], df[keep].astype(np.uint32)
-        base = np.frombuffer(b"".join(extra), BASE)
-        tokens = ((k, packed(t[x], doc[x], kind[x], df[x])) for k, x in dealt(A.mix(doc.astype(np.uint64)), n_buckets, np.arange(len(t))))
-        yield blobs(merged(tokens, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
+        for _, (body, extra) in met(batches, "body", "extra"):
+            t, doc, kind = unpacked(body, ["<u8", "<i8", "u1"])
+            order = np.argsort(t, kind="stable")
+            t, doc, kind = t[order], doc[order], kind[order]
+            head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
+            size = np.diff(np.append(head, len(t)))
+            df = np.repeat(size, size)
+            keep = df > 1
+            t, doc, kind, df = t[keep], doc[keep], kind[keep], df[keep].astype(np.uint32)
+            base = np.frombuffer(b"".join(extra), BASE)
+            tokens = ((k, packed(t[x], doc[x], kind[x], df[x])) for k, x in dealt(A.mix(doc.astype(np.uint64)), n_buckets, np.arange(len(t))))
+            yield blobs(merged(tokens, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
 
     return run
 
@@ -197,7 +193,10 @@ def stars(o: np.ndarray, t: np.ndarray, doc: np.ndarray):
 
 def send_prefixes(num: int, den: int, n_buckets: int):
     def run(batches):
-        body, extra = column(batches, "body", "extra")
+        for _, (body, extra) in met(batches, "body", "extra"):
+            yield from of_bucket(body, extra)
+
+    def of_bucket(body, extra):
         base = np.frombuffer(b"".join(extra), BASE)
         base = base[base["lead"]]
         base = base[np.unique(base["doc"], return_index=True)[1]]
@@ -225,6 +224,8 @@ def send_prefixes(num: int, den: int, n_buckets: int):
             posts.append(p)
         g, a, b = (np.concatenate(c) for c in zip(*edges))
         o, t, doc = (np.concatenate(c) for c in zip(*posts))
+        if not len(doc):
+            return
         rows = [(k, packed(o[x], t[x], doc[x]), b"") for k, x in dealt(A.mix(t + o.astype(np.uint64)), n_buckets, np.arange(len(t)))]
         rows.append((int(abs(int(doc[0])) % n_buckets), b"", packed(g, a, b)))
         yield blobs(rows)
@@ -236,25 +237,38 @@ def join_prefixes(n_groups: int):
     """A spanning forest of each task's posting lists, packed; the forests of a group of tasks meet next."""
 
     def run(batches):
-        body, extra = column(batches, "body", "extra")
-        (g, a, b), _ = stars(*unpacked(body, ["<i4", "<u8", "<i8"]))
-        g2, a2, b2 = unpacked(extra, ["<i4", "<i8", "<i8"])
-        edges = forest(np.concatenate([g, g2]), np.concatenate([a, a2]), np.concatenate([b, b2]))
-        yield blobs([(TaskContext.get().partitionId() % n_groups, packed(*edges), b"")])
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for _, (body, extra) in met(batches, "body", "extra"):
+            (g, a, b), _ = stars(*unpacked(body, ["<i4", "<u8", "<i8"]))
+            held = [np.concatenate(x) for x in zip(held, (g, a, b), unpacked(extra, ["<i4", "<i8", "<i8"]))]
+            if len(held[0]) > FLUSH:
+                held = list(forest(*held))
+                if len(held[0]) > FLUSH // 2:
+                    yield blobs([(TaskContext.get().partitionId() % n_groups, packed(*held), b"")])
+                    held = [x[:0] for x in held]
+        yield blobs([(TaskContext.get().partitionId() % n_groups, packed(*forest(*held)), b"")])
 
     return run
 
 
 def merge_forests(batches):
     """One forest of several: a text that hangs on many tokens keeps an edge for each task here, not for each token."""
-    (body,) = column(batches, "body")
-    yield edge_batch(*forest(*unpacked(body, ["<i4", "<i8", "<i8"])))
+    held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for _, (body,) in met(batches, "body"):
+        for x in body:
+            held = [np.concatenate(c) for c in zip(held, unpacked([x], ["<i4", "<i8", "<i8"]))]
+            if len(held[0]) > 8 * FLUSH:
+                held = list(forest(*held))
+                if len(held[0]) > 4 * FLUSH:
+                    yield edge_batch(*held)
+                    held = [c[:0] for c in held]
+    yield edge_batch(*forest(*held))
 
 
 def base_rows(batches):
     for batch in batches:
         x = np.frombuffer(b"".join(v for v in batch.column("extra").to_pylist() if v), BASE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k])) for k in ("doc", "n", "h1", "h2", "lead")], ["doc_id", "n", "h1", "h2", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k])) for k in ("doc", "n", "h1", "h2", "to", "lead")], ["doc_id", "n", "h1", "h2", "to", "lead"])
 
 
 def send_sets(size: int, n_buckets: int):
@@ -301,16 +315,16 @@ def links_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np
 
 def verify_blocks(num: int, den: int):
     def run(batches):
-        groups: dict[int, dict[int, bytes]] = {}
-        for batch in batches:
-            for head, body in zip(batch.column("body").to_pylist(), batch.column("extra").to_pylist()):
+        for _, (heads, bodies) in met(batches, "body", "extra"):
+            groups: dict[int, dict[int, bytes]] = {}
+            for head, body in zip(heads, bodies):
                 key, doc = np.frombuffer(head, "<i8").tolist()
                 groups.setdefault(key, {})[doc] = body
-        for members in groups.values():
-            docs = np.array(list(members), np.int64)
-            if len(docs) > 1:
-                i, j = links_of([np.frombuffer(x, "<u8") for x in members.values()], num, den)
-                yield edge_batch(*forest(np.zeros(len(i), np.int32), docs[i], docs[j]))
+            for members in groups.values():
+                docs = np.array(list(members), np.int64)
+                if len(docs) > 1:
+                    i, j = links_of([np.frombuffer(x, "<u8") for x in members.values()], num, den)
+                    yield edge_batch(*forest(np.zeros(len(i), np.int32), docs[i], docs[j]))
 
     return run
 
@@ -342,19 +356,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     stage, n = Stage(spark), buckets(docs)
     texts = binary_text(docs)
-    sent = texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA).repartition("bucket")
+    sent = meet(texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA))
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))
-    base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, lead boolean")
-    prefixes = counted.repartition("bucket").mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA).repartition("bucket")
-    forests = prefixes.mapInArrow(join_prefixes(buckets(docs, MERGED, 1, 1 << 20)), BLOB_SCHEMA).repartition("bucket")
+    base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, to long, lead boolean")
+    prefixes = meet(meet(counted).mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA))
+    forests = meet(prefixes.mapInArrow(join_prefixes(buckets(docs, MERGED, 1)), BLOB_SCHEMA))
     groups = components(forests.mapInArrow(merge_forests, EDGE_SCHEMA), stage)
     nodes = groups.unionByName(groups.select("g", F.col("b").alias("a"), "b").distinct())
     labels = nodes.groupBy(F.col("a").alias("doc_id")).agg(*(F.max(F.when(F.col("g") == o, F.col("b"))).alias(f"l{o}") for o in range(ORDERS)))
     labels = labels.dropna().select("doc_id", F.xxhash64(*(f"l{o}" for o in range(ORDERS))).alias("family"))
-    leads = base.where("lead").groupBy("h1", "h2").agg(F.min("doc_id").alias("lead_id"), F.first("n").alias("n"))
-    families = stage.write(labels.join(leads.select(F.col("lead_id").alias("doc_id"), "n"), "doc_id"))
-    sets = with_lists(texts, block_keys(families, num, den, block), ["key"], "inner").mapInArrow(send_sets(size, n), BLOB_SCHEMA).repartition("bucket")
+    # each set: its smallest lead stands for it in the graph, and its smallest text may name the component
+    each = stage.write(base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("lead"), F.col("doc_id"))).alias("lead_id"), F.min("doc_id").alias("low"), F.first("n").alias("n")))
+    families = stage.write(labels.join(each.groupBy(F.col("lead_id").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"))
+    sets = meet(with_lists(texts, block_keys(families, num, den, block), ["key"], "inner").mapInArrow(send_sets(size, n), BLOB_SCHEMA))
     links = sets.mapInArrow(verify_blocks(num, den), EDGE_SCHEMA)
-    twins = base.where("n > 0").join(leads.select("h1", "h2", "lead_id"), ["h1", "h2"]).where("doc_id <> lead_id").select(F.lit(0).alias("g"), F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))
-    found = components(links.unionByName(twins), stage).select(F.col("a").alias("doc_id"), F.col("b").alias("root"))
-    return base.join(found, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    # leads of one doc_id with unequal texts, and leads of one set in several tasks, belong together
+    leads = base.where("lead").select("doc_id", "h1", "h2").distinct().join(each.select("h1", "h2", "lead_id"), ["h1", "h2"])
+    found = components(links.unionByName(leads.where("doc_id <> lead_id").select(F.lit(0).alias("g"), F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))), stage)
+    lows = each.join(found.select(F.col("a").alias("lead_id"), F.col("b").alias("root")), "lead_id", "left").withColumn("root", F.coalesce("root", "lead_id"))
+    lows = lows.groupBy("root").agg(F.min("low").alias("low"))
+    roots = base.where("lead").select(F.col("doc_id").alias("to")).distinct().join(found.select(F.col("a").alias("to"), F.col("b").alias("root")), "to", "left")
+    named = roots.select("to", F.coalesce("root", "to").alias("root")).join(lows, "root").select("to", "low")
+    return base.join(named, "to", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))

@@ -55,3 +55,23 @@ def test_edges(spark):
     rows = [(None, t, "en", None, None), (5, t, None, "s", 3), (5, t, None, "s", 3), (3, None, None, None, None), (4, t.upper(), "x", "y", 1)]
     got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, ROW)).collect())
     assert got == [(3, 0, 3), (4, 4, 4), (5, 4, 4), (5, 4, 4)]
+
+
+def test_many_exact_and_near_copies_in_many_tasks(spark):
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1000 - i, " ".join(base)) for i in range(300)]
+    for i in range(200):
+        t = list(base)
+        t[r.randrange(60)] = f"x{i % 40}"
+        rows.append((2000 + i, " ".join(t)))
+    f = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for num, block in ((80, 16), (97, 256)):
+        assert {tuple(x) for x in jaccard_components(f, 3, num, 100, block).collect()} == brute(rows, 3, num, 100)
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    words = [f"{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5000:])), (3, " ".join(words[:9]))]
+    f = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, key string")
+    assert {tuple(x) for x in jaccard_components(f, 3, 90, 100).collect()} == {(1, 299_998, 1), (2, 294_998, 1), (3, 7, 3)}
