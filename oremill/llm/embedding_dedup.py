@@ -2,18 +2,21 @@
 
 Equal vectors are first folded into one that carries their number.  Cells come from spherical
 k-means on a sample (at most SAMPLE vectors); every vector is a member of its nearest cell and
-a visitor of each cell that could hold a partner: two unit vectors with cosine t are
-r = sqrt(2 - 2 t) apart, so a partner in cell c needs <x, own - c> <= r |own - c|.  The bound
-holds for any centres, so no link is lost whatever the sample was.  Where vectors have no
-cluster structure it excludes few cells, and the work nears all pairs in blocks.
+a visitor of those of its PROBES nearest cells that could hold a partner: two unit vectors with cosine t
+are r = sqrt(2 - 2 t) apart, so a partner in cell c needs <x, own - c> <= r |own - c|.  A pair is found when either
+vector visits the other's cell, and counts for both.  Work so grows with the rows, at a recall that
+the README gives; tables of up to PROBES cells (some 12,000 vectors) are compared in full, and so is any table with
+probes=None, where the bound alone decides (on vectors without cluster structure it excludes few cells, and the
+work nears all pairs in blocks).
 
-A cell's members and visitors are dealt into blocks of bounded size by their counts; a block
-hands on counts and a spanning forest of its links, never pairs.  Cosines near the threshold
-are taken in double precision.
+A cell's members and visitors are dealt into blocks of bounded size by their counts, and a task holds one block
+at a time; a block hands on counts and a spanning forest of its links, never pairs.  Cosines near the
+threshold are taken in double precision.
 
 Vectors that are null, zero, or hold null or non-finite parts link with nothing.  Vectors of
 different lengths never link.  Rows with a null vec_id are left out; repeated rows count once
-and give repeated, equal results.
+and give repeated, equal results; rows that share a vec_id with unequal vectors get the larger of their
+counts.  Of equally near cells a vector's own is the first.  Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 from oremill.functions.ship import ship
 
 from .components import components, forest
-from .shared import Stage
+from .shared import Stage, meet, small_batches
 
 #: Vectors that the cells are fitted on at most, and vectors for each cell.
 SAMPLE, PER_CELL, MOST_CELLS = 20_000, 2000, 4096
 #: Members and visitors of one block.
 MEMBERS, VISITORS = 4096, 8192
 ROWS = 512
+#: Nearest cells that a vector is compared in.
+PROBES = 6
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -71,26 +76,43 @@ def vectors(batch):
         yield int(dim), row, flat[start[row][:, None] + np.arange(dim)]
 
 
-def visits(u: np.ndarray, c: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each row, and a mask of the cells that may hold its partners."""
-    s = u @ c.T
-    own = s.argmax(1)
-    square = (c * c).sum(1)
-    apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0)) + 1e-7
-    gap = s[np.arange(len(u)), own][:, None] - s
-    mask = gap <= r * apart[own] + 1e-9
-    mask[np.arange(len(u)), own] = True
-    return own, mask
-
-
-def count_cells(shared, r: float):
+class Cells:
+    """Centres for vectors of each length, and what the bound needs."""
+
+    def __init__(self, centres: np.ndarray, r: float, probes: int | None):
+        self.centres, self.r, self.probes, self.made = centres, r, probes, {}
+
+    def visits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and a mask of the cells that it is compared in."""
+        dim = u.shape[1]
+        if dim not in self.made:
+            c = centres_for(self.centres, dim)
+            square = (c * c).sum(1)
+            self.made[dim] = c, np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0)) + 1e-7
+        c, apart = self.made[dim]
+        own, mask = np.empty(len(u), np.int64), np.empty((len(u), len(c)), bool)
+        for a in range(0, len(u), 1024):
+            s = u[a : a + 1024] @ c.T
+            row = np.arange(len(s))
+            mine = s.argmax(1)
+            m = s[row, mine][:, None] - s <= self.r * apart[mine] + 1e-9
+            if self.probes and self.probes < len(c):
+                near = np.zeros_like(m)
+                near[row[:, None], np.argpartition(-s, self.probes - 1, axis=1)[:, : self.probes]] = True
+                m &= near
+            m[row, mine] = True
+            own[a : a + 1024], mask[a : a + 1024] = mine, m
+        return own, mask
+
+
+def count_cells(shared):
     def run(batches):
-        c, held = shared.value, {}
+        cells, held = shared.value, {}
         for batch in batches:
             for dim, _, x in vectors(batch):
-                own, mask = visits(unit_rows(x), centres_for(c, dim), r)
-                m, v = held.setdefault(dim, (np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)))
-                m += np.bincount(own, minlength=len(c))
+                own, mask = cells.visits(unit_rows(x))
+                m, v = held.setdefault(dim, np.zeros((2, mask.shape[1]), np.int64))
+                m += np.bincount(own, minlength=len(m))
                 v += mask.sum(0)
         rows = [(d, k, int(m[k]), int(v[k])) for d, (m, v) in held.items() for k in np.flatnonzero(v)]
         cols = list(zip(*rows)) if rows else [()] * 4
@@ -99,67 +121,92 @@ def count_cells(shared, r: float):
     return run
 
 
-BLOCK_SCHEMA = "key long, role int, dim int, ids binary, weight binary, x binary"
+BLOCK_SCHEMA = "key long, role int, cell int, dim int, ids binary, weight binary, cells binary, x binary"
 
 
-def spread(ids: np.ndarray, n: int) -> np.ndarray:
+def spread(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A number below n for each id."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(max(n, 1))).astype(np.int64)
+    return ((h >> np.uint64(32)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+
+
+def visited(mask: np.ndarray) -> np.ndarray:
+    """The cells of each row of a mask, filled up by -1."""
+    n = mask.sum(1)
+    row, cell = np.nonzero(mask)
+    out = np.full((len(mask), int(n.max(initial=1))), -1, np.int32)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = cell
+    return out
 
 
-def send_blocks(shared, plan, r: float):
-    """Members and visitors to the blocks of their cells."""
+def send_blocks(shared, plan, kind: str):
+    """Members (with the cells they visit) and visitors (with their own) to the blocks of their cells."""
 
     def run(batches):
-        c, cells = shared.value, plan.value
+        cells, blocks = shared.value, plan.value
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             weight = batch.column("weight").to_numpy(zero_copy_only=False)
             out = []
             for dim, row, x in vectors(batch):
-                own, mask = visits(unit_rows(x), centres_for(c, dim), r)
-                for k in range(len(c)):
-                    m_blocks, v_blocks, base = cells.get((dim, k), (0, 0, 0))
-                    if not m_blocks:
-                        continue
-                    for role, mine in ((0, np.flatnonzero(own == k)), (1, np.flatnonzero(mask[:, k]))):
-                        if not len(mine):
-                            continue
-                        blocks, others = (m_blocks, v_blocks) if role == 0 else (v_blocks, m_blocks)
-                        at = spread(ids[row[mine]], blocks)
-                        for b in np.unique(at):
-                            z = mine[at == b]
-                            body = (ids[row[z]].astype("<i8").tobytes(), weight[row[z]].astype("<i8").tobytes(), x[z].astype("<f8").tobytes())
-                            for o in range(others):
-                                mb, vb = (b, o) if role == 0 else (o, b)
-                                out.append((base + int(mb) * v_blocks + int(vb), role, dim, *body))
-            cols = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["key", "role", "dim", "ids", "weight", "x"])
+                own, mask = cells.visits(unit_rows(x))
+                m_blocks, v_blocks, base = blocks[dim]
+                where = visited(mask)
+                i, k = np.nonzero(mask)
+                keep = m_blocks[k] > 0  # a cell without members has no pairs
+                for role, i, k in ((0, np.arange(len(x)), own), (1, i[keep], k[keep])):
+                    mine, others = (m_blocks, v_blocks) if role == 0 else (v_blocks, m_blocks)
+                    at, n = spread(ids[row[i]], mine[k]), others[k]
+                    o = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    i, k, at = np.repeat(i, n), np.repeat(k, n), np.repeat(at, n)
+                    key = base[k] + (at * v_blocks[k] + o if role == 0 else o * v_blocks[k] + at)
+                    order = np.argsort(key, kind="stable")
+                    i, k, key = i[order], k[order], key[order]
+                    edge = [*np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist(), len(key)] if len(key) else []
+                    for a, b in zip(edge[:-1], edge[1:]):
+                        z = i[a:b]
+                        seen = where[z] if role == 0 else own[z].astype(np.int32)
+                        out.append((int(key[a]), role, int(k[a]), dim, ids[row[z]].astype("<i8").tobytes(), weight[row[z]].astype("<i8").tobytes(), seen.tobytes(), x[z].astype(kind).tobytes()))
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], ["key", "role", "cell", "dim", "ids", "weight", "cells", "x"])
 
     return run
 
 
+def by_key(batches):
+    """(members' rows, visitors' rows) of one block after the other, of rows sorted by key."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        for key, role, *body in zip(*(batch.column(k).to_pylist() for k in ("key", "role", "cell", "dim", "ids", "weight", "cells", "x"))):
+            if key != now:
+                if sides[0] and sides[1]:
+                    yield sides
+                now, sides = key, ([], [])
+            sides[role].append(body)
+    if sides[0] and sides[1]:
+        yield sides
+
+
 FOUND_SCHEMA = "vec_id long, links long, a long, b long"
 
 
-def compare_blocks(cosine: float):
+def compare_blocks(cosine: float, kind: str, mutual: bool):
+    """mutual: whether both vectors of a pair visit each other's cell always, so that each counts its own links."""
+
     def run(batches):
-        groups: dict = {}
-        for batch in batches:
-            for key, role, dim, *body in zip(*(batch.column(k).to_pylist() for k in ("key", "role", "dim", "ids", "weight", "x"))):
-                groups.setdefault(key, ([], []))[role].append((dim, *body))
-        while groups:
-            _, sides = groups.popitem()
-            if not sides[0] or not sides[1]:
-                continue
-            dim = sides[0][0][0]
-            (m_ids, m_weight, m), (ids, _, v) = (
-                (np.frombuffer(b"".join(s[1] for s in side), "<i8"), np.frombuffer(b"".join(s[2] for s in side), "<i8"), unit_rows(np.frombuffer(b"".join(s[3] for s in side), "<f8").reshape(-1, dim)))
+        for sides in by_key(batches):
+            cell, dim = sides[0][0][:2]
+            (m_ids, m_weight, m), (ids, weight, v) = (
+                (np.frombuffer(b"".join(s[2] for s in side), "<i8"), np.frombuffer(b"".join(s[3] for s in side), "<i8"), unit_rows(np.frombuffer(b"".join(s[5] for s in side), kind).reshape(-1, dim).astype(np.float64)))
                 for side in sides
             )
+            own = np.frombuffer(b"".join(s[4] for s in sides[1]), "<i4")
+            rows = [np.frombuffer(s[4], "<i4").reshape(len(s[2]) // 8, -1) for s in sides[0]]
+            wide = max(x.shape[1] for x in rows)
+            where = np.concatenate([np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=-1) for x in rows])
             m32, v32 = m.astype(np.float32), v.astype(np.float32)
-            total = np.zeros(len(ids), np.int64)
+            total, back = np.zeros(len(ids), np.int64), np.zeros(len(m_ids), np.int64)
             edges = [(np.zeros(0, np.int64),) * 2]
             for a in range(0, len(ids), ROWS):
                 s = v32[a : a + ROWS] @ m32.T
@@ -169,29 +216,36 @@ def compare_blocks(cosine: float):
                     unsure = np.flatnonzero(s[x, y] < cosine + 1e-4)
                     ok = np.ones(len(x), bool)
                     ok[unsure] = np.einsum("ij,ij->i", v[a + x[unsure]], m[y[unsure]]) >= cosine
-                    x, y = x[ok], y[ok]
-                    total[a : a + ROWS] += np.bincount(x, weights=m_weight[y], minlength=min(ROWS, len(ids) - a)).astype(np.int64)
-                    _, e1, e2 = forest(np.zeros(len(x), np.int32), ids[a + x], m_ids[y])
+                    x, y = a + x[ok], y[ok]
+                    total += np.bincount(x, weights=m_weight[y], minlength=len(ids)).astype(np.int64)
+                    if not mutual:  # a member that does not come to the visitor's cell counts the pair here
+                        alone = np.flatnonzero(own[x] != cell)
+                        alone = alone[~(where[y[alone]] == own[x[alone]][:, None]).any(1)]
+                        back += np.bincount(y[alone], weights=weight[x[alone]], minlength=len(m_ids)).astype(np.int64)
+                    _, e1, e2 = forest(np.zeros(len(x), np.int32), ids[x], m_ids[y])
                     edges.append((e1, e2))
             _, e1, e2 = forest(np.zeros(sum(len(e[0]) for e in edges), np.int32), np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
-            some = np.flatnonzero(total)
-            n, k = len(some), len(e1)
+            who, links = np.concatenate([ids[total > 0], m_ids[back > 0]]), np.concatenate([total[total > 0], back[back > 0]])
+            n, k = len(who), len(e1)
             void = np.concatenate([np.zeros(n, bool), np.ones(k, bool)])
-            pad = np.zeros(k, np.int64)
-            none = np.zeros(n, np.int64)
+            pad, none = np.zeros(k, np.int64), np.zeros(n, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[some], pad]), mask=void), pa.array(np.concatenate([total[some], pad]), mask=void), pa.array(np.concatenate([none, e1]), mask=~void), pa.array(np.concatenate([none, e2]), mask=~void)],
+                [pa.array(np.concatenate([who, pad]), mask=void), pa.array(np.concatenate([links, pad]), mask=void), pa.array(np.concatenate([none, e1]), mask=~void), pa.array(np.concatenate([none, e2]), mask=~void)],
                 ["vec_id", "links", "a", "b"],
             )
 
     return run
 
 
-def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each vector."""
+def near_duplicates(table: DataFrame, cosine: float = 0.95, probes: int | None = PROBES, per_cell: int = PER_CELL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each vector.  probes: cells that a vector is compared in at most; None: all
+    that can hold a partner."""
     if not 0 < cosine <= 1:
         raise ValueError("the cosine lies above 0 and up to 1")
+    if probes is not None and probes < 1:
+        raise ValueError("a vector is compared in one cell at least")
     ship(table.sparkSession)
+    small_batches(table.sparkSession)
     spark, stage = table.sparkSession, Stage(table.sparkSession)
     r = float(np.sqrt(max(2 - 2 * cosine, 0)))
     rows = table.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -204,16 +258,18 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     level = F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     got = folded.where(F.size("embedding") == dim).where(level < min(1.0, SAMPLE / max(n, 1))).select("embedding").limit(2 * SAMPLE).collect()
     sample = unit_rows(np.array([g.embedding for g in got], np.float64)) if got else np.eye(1, dim)
-    centres = spherical_kmeans(sample, min(len(sample), MOST_CELLS, max(1, round(n / PER_CELL))))
-    shared = spark.sparkContext.broadcast(centres)
-    sizes = folded.select("embedding").mapInArrow(count_cells(shared, r), "dim long, cell long, members long, visitors long").groupBy("dim", "cell").agg(F.sum("members").alias("m"), F.sum("visitors").alias("v"))
+    centres = spherical_kmeans(sample, min(len(sample), MOST_CELLS, max(1, round(n / per_cell))))
+    shared = spark.sparkContext.broadcast(Cells(centres, r, probes))
+    sizes = folded.select("embedding").mapInArrow(count_cells(shared), "dim long, cell long, members long, visitors long").groupBy("dim", "cell").agg(F.sum("members").alias("m"), F.sum("visitors").alias("v"))
     plan, base = {}, 0
     for c in sizes.orderBy("dim", "cell").collect():  # a row for each cell: MOST_CELLS for each length
+        m_blocks, v_blocks, first = plan.setdefault(c.dim, np.zeros((3, len(centres)), np.int64))
         if c.m:
-            plan[c.dim, c.cell] = (-(-c.m // MEMBERS), -(-c.v // VISITORS), base)
-            base += -(-c.m // MEMBERS) * -(-c.v // VISITORS)
-    blocks = folded.mapInArrow(send_blocks(shared, spark.sparkContext.broadcast(plan), r), BLOCK_SCHEMA).repartition(max(1, min(base, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "key")
-    found = stage.write(blocks.mapInArrow(compare_blocks(cosine), FOUND_SCHEMA))
+            m_blocks[c.cell], v_blocks[c.cell], first[c.cell] = -(-c.m // MEMBERS), -(-c.v // VISITORS), base
+            base += int(m_blocks[c.cell] * v_blocks[c.cell])
+    kind = "<f4" if "float" in dict(folded.dtypes)["embedding"] else "<f8"
+    blocks = meet(folded.mapInArrow(send_blocks(shared, spark.sparkContext.broadcast(plan), kind), BLOCK_SCHEMA), "key")
+    found = stage.write(blocks.mapInArrow(compare_blocks(cosine, kind, probes is None or probes >= len(centres)), FOUND_SCHEMA))
     links = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
     leads = folded.join(links, "vec_id").select("embedding", F.col("vec_id").alias("lead"), "links")
     all_links = whole.join(leads, "embedding").select("vec_id", "lead", (F.col("links") - 1).alias("n_links"))

@@ -30,13 +30,19 @@ def case(seed, n=400, dim=8):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(E, "PER_CELL", 25)
     monkeypatch.setattr(E, "MEMBERS", 16)
     monkeypatch.setattr(E, "VISITORS", 32)
     rows = case(3)
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     for cosine in (0.95, 0.99):
-        assert {tuple(r) for r in E.near_duplicates(d, cosine).collect()} == brute(rows, cosine)
+        want = brute(rows, cosine)
+        assert {tuple(r) for r in E.near_duplicates(d, cosine, None, 25).collect()} == want
+        for probes in (1, 2, 6):
+            got = {r.vec_id: r for r in E.near_duplicates(d, cosine, probes, 25).collect()}
+            found, links = sum(r.n_links for r in got.values()), sum(w[1] for w in want)
+            assert all(got[w[0]].n_links <= w[1] for w in want) and found % 2 == 0 and found >= (0.6, 0.9, 0.99)[(1, 2, 6).index(probes)] * links
+            for r in got.values():  # linked vectors are in one component, others alone
+                assert (r.n_links > 0) == (sum(o.component_id == r.component_id for o in got.values()) > 1) and r.kept == (r.vec_id == r.component_id)
 
 
 def test_whole_table(spark, sf):
@@ -49,3 +55,10 @@ def test_edges(spark):
     rows = [(None, [1.0]), (2, [1.0]), (2, [1.0]), (1, [3.0]), (5, [-1.0])]
     got = sorted(tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (5, 0, 5, True)]
+
+
+def test_clashing_columns_and_tied_cells(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "a", 1, 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, weight int, lead int")
+    got = {tuple(r) for r in E.near_duplicates(d, probes=1, per_cell=1).collect()}
+    assert got == {(i, 19, i % 2, i < 2) for i in range(40)}
