@@ -6,17 +6,23 @@ documents.  Exact containment needs one prefix token a window: its rarest shingl
 joined with the documents' shingles.  A meeting fixes where the window would start, so bounds
 of position and length discard it or leave one place, whose words are then compared.
 
-The benchmark is broadcast in slices of at most SLICE_LIMIT bytes of text, one pass over the
-documents each (one for any usual benchmark); the slices' results are joined by document.
+The benchmark is broadcast in slices of at most SLICE_LIMIT bytes of text, and as flat arrays of about 40 bytes
+a word; a longer item is cut into parts that share no window and lose none.  Each slice takes two passes over the documents
+(any usual benchmark is one slice), and only one is in memory at a time; the slices' results are joined by
+document.
 
 Items with a null item_id and documents with a null doc_id are left out; null and empty texts
 have no words and match nothing.  Repeated items count once; repeated documents give
-repeated, equal rows.
+repeated, equal rows, and rows that share a doc_id are judged each by its own text.  Of equally rare shingles a
+window's prefix is that with the smaller hash, which changes no result.  A very long document is one slice of words and
+costs some 40 times its bytes in its worker.  Columns other than doc_id and text are not read (`clean` hands them
+on), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -24,72 +30,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .repeats import gathered, list_rows, with_lists
+from .repeats import gathered
 from .shared import Stage, binary_text
 
-#: Bytes of benchmark text that are broadcast at once.
-SLICE_LIMIT = 32 << 20
+#: Bytes of benchmark text that are broadcast at once, and of one part of an item.
+SLICE_LIMIT, PART_LIMIT = 8 << 20, 1 << 20
 SHINGLE = 3
-HIT_SCHEMA = "doc_id long, start long, stop long, item string"
+HIT_SCHEMA = "doc_id long, uid long, start long, stop long, item string"
 
 
 class Windows:
-    """Distinct windows of a slice of the benchmark: their words (exact ids in a vocabulary) and their items."""
+    """Distinct windows of a slice of the benchmark: places in a stream of word numbers (exact ones, of a vocabulary),
+    and their items."""
 
     def __init__(self, rows: list[tuple[str, bytes]], width: int):
-        data, off = A.column_bytes(pa.array([t for _, t in rows], pa.binary()))
+        self.width = width
+        data, off = A.column_bytes(pa.array([t for _, t in rows], pa.large_binary()))
         data = A.LOWER[data]
         start, end, before = A.words(data, off, A.ALNUM)
         hashes = A.word_hashes(data, start, end)
         self.vocab, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        self.ids = ids.astype(np.int32)
         self.word_bytes = gathered(data, start[first], (end - start)[first])
         self.word_off = np.append(0, np.cumsum((end - start)[first]))
-        found: dict[bytes, int] = {}
-        self.size, self.words, self.items = [], [], []
-        for k, (item, _) in enumerate(rows):
-            w = ids[before[k] : before[k + 1]]
-            for p in range(max(len(w) - width, 0) + 1 if len(w) else 0):
-                x = w[p : p + width]
-                at = found.setdefault(x.tobytes(), len(found))
-                if at == len(self.size):
-                    self.size.append(len(x))
-                    self.words.append(np.append(x, np.full(width - len(x), -1)))
-                    self.items.append(set())
-                self.items[at].add(item)
-        self.size = np.array(self.size, np.int64)
-        self.words = np.array(self.words, np.int64).reshape(-1, width)
-        # every shingle of every window: hash, window, offset
-        hs, win, offset = [], [], []
-        self.grams = sorted({min(SHINGLE, int(n)) for n in np.unique(self.size)})
-        wh = np.where(self.words >= 0, self.vocab[np.maximum(self.words, 0)] if len(self.vocab) else 0, 0).astype(np.uint64)
-        for n in np.unique(self.size):
-            mine = np.flatnonzero(self.size == n)
-            s = min(SHINGLE, int(n))
-            for p in range(int(n) - s + 1):
-                hs.append(shingle_hash(wh[mine][:, p : p + s], s))
-                win.append(mine)
-                offset.append(np.full(len(mine), p))
-        none = np.zeros(0, np.int64)
-        self.sh = np.concatenate(hs) if hs else none.astype(np.uint64)
-        self.sh_window, self.sh_offset = (np.concatenate(x) if x else none for x in (win, offset))
-        self.shingles = np.unique(self.sh)
+        # windows of every row, then one for each distinct sequence of words
+        n = np.diff(before)
+        times = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+        own = np.repeat(np.arange(len(rows)), times)
+        pos = before[:-1][own] + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        size = np.minimum(n[own], width)
+        h = A.Spans(A.mix(hashes))(pos, pos + size) if len(pos) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        own, pos, size, h = own[order], pos[order], size[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+        same = size == size[head]
+        for j in range(width):
+            inside = np.flatnonzero(same & (j < size))
+            same[inside] &= self.ids[pos[inside] + j] == self.ids[pos[head[inside]] + j]
+        new |= ~same  # a window whose hash is another's by chance stands for itself, and so do those after it
+        for i in np.flatnonzero(~same):
+            if i + 1 < len(h) and h[i + 1] == h[i]:
+                new[i + 1] = True
+        at = np.cumsum(new) - 1
+        self.pos, self.size = pos[new], size[new]
+        self.names, item = np.unique(np.array([r[0] for r in rows], dtype=object), return_inverse=True) if rows else (np.zeros(0, object), np.zeros(0, np.int64))
+        pairs = np.unique(at * max(len(self.names), 1) + item[own]) if len(at) else np.zeros(0, np.int64)
+        self.item = pairs % max(len(self.names), 1)
+        self.item_at = np.searchsorted(pairs // max(len(self.names), 1), np.arange(len(self.pos) + 1))
+        # the shingle that begins at each word (those of windows lie inside one row)
+        self.grams = sorted({min(SHINGLE, int(k)) for k in np.unique(self.size)})
+        self.at_word = {s: doc_grams(hashes, s) for s in self.grams}
+        used = [self.at_word[s][p] for s, p, _ in self.places()]
+        self.shingles = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
+
+    def places(self):
+        """(shingle length, places, windows) of all shingles at one offset in their windows."""
+        for k in range(1, self.width + 1):
+            mine = np.flatnonzero(self.size == k)
+            s = min(SHINGLE, k)
+            for p in range(k - s + 1) if len(mine) else ():
+                yield s, self.pos[mine] + p, mine
 
     def order(self, counts: np.ndarray) -> None:
         """Take each window's prefix: its rarest shingle (ties: the smaller hash)."""
-        df = counts[np.searchsorted(self.shingles, self.sh)]
-        by = np.lexsort((self.sh_offset, self.sh, df, self.sh_window))
-        first = by[np.append(True, self.sh_window[by][1:] != self.sh_window[by][:-1])] if len(by) else by
-        first = first[np.argsort(self.sh[first], kind="stable")]
-        self.prefix, self.prefix_window, self.prefix_offset = self.sh[first], self.sh_window[first], self.sh_offset[first]
+        best = np.full(len(self.pos), np.iinfo(np.int64).max)
+        prefix, offset = np.zeros(len(self.pos), np.uint64), np.zeros(len(self.pos), np.int64)
+        for s, p, mine in self.places():
+            h = self.at_word[s][p]
+            df = counts[np.searchsorted(self.shingles, h)]
+            better = (df < best[mine]) | ((df == best[mine]) & (h < prefix[mine]))
+            mine, h, df, p = mine[better], h[better], df[better], p[better]
+            best[mine], prefix[mine], offset[mine] = df, h, p - self.pos[mine]
+        by = np.argsort(prefix, kind="stable")
+        self.prefix, self.prefix_window, self.prefix_offset = prefix[by], by, offset[by]
         self.filter = gate(self.prefix)
+        self.at_word, self.shingles = {}, self.shingles[:0]
 
-
-def shingle_hash(w: np.ndarray, s: int) -> np.ndarray:
-    """As `arrays.grams` of s words, for rows of s word hashes."""
-    if not len(w):
-        return np.zeros(0, np.uint64)
-    flat = A.grams(np.ascontiguousarray(w).reshape(-1), s)
-    return (A.mix(flat) if s == 1 else flat)[::s]
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        n = np.diff(self.item_at)[windows]
+        at = np.arange(int(n.sum())) + np.repeat(self.item_at[windows] - (np.cumsum(n) - n), n)
+        return self.names[np.unique(self.item[at])].tolist()
 
 
 def gate(keys: np.ndarray) -> np.ndarray:
@@ -151,9 +173,9 @@ def meetings(x: Windows, d, start, end, before, w):
         ok = (first >= before[row]) & (first + size <= before[row + 1]) & (np.minimum(size, SHINGLE) == s)  # bounds of position and length
         row, first, win, size = row[ok], first[ok], win[ok], size[ok]
         same = np.ones(len(first), bool)
-        for j in range(x.words.shape[1]):
-            inside = same & (j < size)
-            same[inside] &= w[first[inside] + j] == x.vocab[x.words[win[inside], j]]
+        for j in range(x.width):
+            inside = np.flatnonzero(same & (j < size))
+            same[inside] = w[first[inside] + j] == x.vocab[x.ids[x.pos[win[inside]] + j]]
         rows.append(row[same])
         places.append(first[same])
         wins.append(win[same])
@@ -161,7 +183,7 @@ def meetings(x: Windows, d, start, end, before, w):
     if len(first):  # the bytes of the words, each place once
         size = x.size[win]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        place, word = np.repeat(first, size) + at, x.words[np.repeat(win, size), at]
+        place, word = np.repeat(first, size) + at, x.ids[x.pos[np.repeat(win, size)] + at]
         place, k = np.unique(place, return_index=True)
         word = word[k]
         n = (end - start)[place]
@@ -206,9 +228,9 @@ def report_slice(shared):
                 row, first, win = meetings(x, d, start, end, before, w)
                 n.append(np.diff(before))
                 hit.append(covered_words(before, row, first, first + x.size[win], len(start)))
-                mine = [[] for _ in range(b - a)]
-                for r, k in zip(*np.unique(np.stack([row, win]), axis=1)):
-                    mine[r] += x.items[k]
+                mine: list[list[str]] = [[] for _ in range(b - a)]
+                for r in np.unique(row):
+                    mine[r] = x.items_of(np.unique(win[row == r]))
                 items += mine
             none = [np.zeros(0, np.int64)]
             yield digest_rows(batch.column("doc_id"), np.concatenate(n or none), np.concatenate(hit or none), items)
@@ -231,33 +253,45 @@ def clean_slice(shared):
 
 
 def hit_rows(shared):
-    """Spans (in words) and items of each document for one of several slices."""
+    """For one of several slices: the words (as spans) and, apart from these, the items of each document that it hits."""
 
     def run(batches):
         x: Windows = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, uid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "uid"))
             for a, _, d, start, end, before, w in doc_slices(batch):
                 row, first, win = meetings(x, d, start, end, before, w)
-                out = [(ids[a + r], p - before[r], p - before[r] + x.size[k], i) for r, p, k in zip(row, first, win) for i in x.items[k]]
-                doc, lo, hi, item = zip(*out) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(item, pa.string())], ["doc_id", "start", "stop", "item"])
+                out = []
+                for r in np.unique(row):
+                    mine = row == r
+                    lo, hi = A.covered(first[mine], first[mine] + x.size[win[mine]])
+                    out += [(r, p - before[r], q - before[r], None) for p, q in zip(lo.tolist(), hi.tolist())]
+                    out += [(r, None, None, i) for i in x.items_of(np.unique(win[mine]))]
+                at, lo, hi, item = zip(*out) if out else ((),) * 4
+                at = a + np.array(at, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(uid[at]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(item, pa.string())], ["doc_id", "uid", "start", "stop", "item"])
 
     return run
 
 
 def report_lists(batches):
     for batch in batches:
-        ids_row, x = list_rows(batch)
-        items = [[] for _ in range(batch.num_rows)]
-        for r, i in zip(ids_row, x["item"]):
-            items[r].append(i)
+        col = batch.column("spans")
+        of = np.repeat(np.arange(batch.num_rows), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = col.flatten()
+        name = flat.field(2).to_pylist()
+        items: list[list[str]] = [[] for _ in range(batch.num_rows)]
+        for r, i in zip(of.tolist(), name):
+            if i is not None:
+                items[r].append(i)
+        span = np.array([i is None for i in name], bool)
+        row, lo, hi = of[span], *(flat.field(k).to_numpy(zero_copy_only=False)[span].astype(np.int64) for k in (0, 1))
         n, hit = [], []
         for a, b, _, start, _, before, _ in doc_slices(batch):
-            lo, hi = np.searchsorted(ids_row, a), np.searchsorted(ids_row, b)
-            r = ids_row[lo:hi] - a
+            mine = (row >= a) & (row < b)
+            r = row[mine] - a
             n.append(np.diff(before))
-            hit.append(covered_words(before, r, before[r] + x["start"][lo:hi], before[r] + x["stop"][lo:hi], len(start)))
+            hit.append(covered_words(before, r, before[r] + lo[mine], before[r] + hi[mine], len(start)))
         none = [np.zeros(0, np.int64)]
         yield digest_rows(batch.column("doc_id"), np.concatenate(n or none), np.concatenate(hit or none), items)
 
@@ -265,47 +299,94 @@ def report_lists(batches):
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def prepared(texts: DataFrame, benchmark: DataFrame, width: int, limit: int) -> list:
-    """The benchmark's slices, as broadcasts with their prefixes chosen."""
+def item_parts(width: int, part: int):
+    """(item, part, text): items, those longer than `part` bytes in parts; the next part begins where a part's last whole
+    window would be followed by another."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                if len(text) <= part:
+                    out.append((item, 0, text))
+                    continue
+                data = np.frombuffer(text, np.uint8)
+                start, end, _ = A.words(A.LOWER[data], np.array([0, len(data)]), A.ALNUM)
+                last = max(len(start) - width, 0)  # where the last window begins
+                a = 0
+                while a <= last and len(start):
+                    b = min(max(int(np.searchsorted(end, start[a] + part, side="right")) - width, a), last)  # the part's last window
+                    out.append((item, a, data[start[a] : end[min(b + width, len(start)) - 1]].tobytes()))
+                    a = b + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.binary()))], ["item", "part", "text"])
+
+    return run
+
+
+def benchmark_slices(texts: DataFrame, benchmark: DataFrame, width: int, limit: int):
+    """The benchmark's slices one after the other, as (broadcast with its prefixes chosen, whether it is the only one)."""
     if width < 1:
         raise ValueError("a window has a word at least")
     spark = texts.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = -(-int(total) // limit) or 1
-    parts = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()  # within `limit`, checked above
-        x = Windows([(r.item, bytes(r.text)) for r in rows], width)
+    parts = Stage(spark).write(items.mapInArrow(item_parts(width, min(limit, PART_LIMIT)), "item string, part long, text binary"))
+    total = int(parts.agg(F.sum(F.length("text") + 64)).first()[0] or 0)
+    rows, size = [], 0
+
+    def built():
+        x = Windows(rows, width)
         counts = np.zeros(len(x.shingles), np.int64)
-        seen = texts.mapInArrow(count_shingles(spark.sparkContext.broadcast(x)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        for r in seen.collect():  # one row for each shingle of the slice at most
-            counts[r.k] = r.c
+        shared = spark.sparkContext.broadcast(x)
+        seen = texts.mapInArrow(count_shingles(shared), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # a row for each shingle of the slice at most
+        counts[seen.column("k").to_numpy()] = seen.column("c").to_numpy()
+        shared.destroy()
         x.order(counts)
-        parts.append(spark.sparkContext.broadcast(x))
-    return parts
+        return spark.sparkContext.broadcast(x), total <= limit
+
+    if total > limit:
+        parts = parts.repartition(-(-total // (PART_LIMIT * 2)), F.xxhash64("item", "part"))
+    for r in parts.toLocalIterator() if total > limit else parts.collect():  # a partition at a time, of some 2 MiB
+        if rows and size + len(r.text) + 64 > limit:
+            yield built()
+            rows, size = [], 0
+        rows.append((r.item, bytes(r.text)))
+        size += len(r.text) + 64
+    yield built()
+
+
+def all_hits(texts: DataFrame, slices) -> DataFrame:
+    """Rows of HIT_SCHEMA of several slices, each written before the next one is built."""
+    stage, hits = Stage(texts.sparkSession), None
+    for shared, _ in slices:
+        h = stage.write(texts.mapInArrow(hit_rows(shared), HIT_SCHEMA))
+        shared.destroy()
+        hits = h if hits is None else hits.unionByName(h)
+    return hits
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_LIMIT) -> DataFrame:
     """The report of REPORT_SCHEMA for each document."""
-    spark, texts = docs.sparkSession, binary_text(docs)
-    parts = prepared(texts, benchmark, width, limit)
-    if len(parts) == 1:
-        return texts.mapInArrow(report_slice(parts[0]), REPORT_SCHEMA)
-    hits = None
-    for p in parts:
-        h = texts.mapInArrow(hit_rows(p), HIT_SCHEMA)
-        hits = h if hits is None else hits.unionByName(h)
-    hits = Stage(spark).write(hits.distinct())
-    return with_lists(texts, hits, ["start", "stop", "item"], "left").mapInArrow(report_lists, REPORT_SCHEMA)
+    texts = binary_text(docs)
+    slices = benchmark_slices(texts, benchmark, width, limit)
+    shared, alone = next(slices)
+    if alone:
+        return texts.mapInArrow(report_slice(shared), REPORT_SCHEMA)
+    texts = texts.withColumn("uid", F.xxhash64("text"))
+    hits = all_hits(texts, itertools.chain([(shared, alone)], slices))
+    lists = hits.distinct().groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "stop", "item")).alias("spans"))
+    return texts.join(lists.hint("merge"), ["doc_id", "uid"], "left").mapInArrow(report_lists, REPORT_SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = SLICE_LIMIT) -> DataFrame:
     """Documents that hold no window of the benchmark, with all their columns."""
     docs = docs.where("doc_id is not null")
-    parts = prepared(binary_text(docs), benchmark, width, limit)
-    if len(parts) == 1:
-        return docs.mapInArrow(clean_slice(parts[0]), docs.schema)
-    for p in parts:
-        docs = docs.mapInArrow(clean_slice(p), docs.schema)
-    return docs
+    texts = binary_text(docs)
+    slices = benchmark_slices(texts, benchmark, width, limit)
+    shared, alone = next(slices)
+    if alone:
+        return docs.mapInArrow(clean_slice(shared), docs.schema)
+    hits = all_hits(texts.withColumn("uid", F.xxhash64("text")), itertools.chain([(shared, alone)], slices))
+    uid = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    bad = hits.select(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid")).distinct()
+    return docs.join(bad, (F.col("doc_id").cast("long") == F.col("_doc")) & (uid == F.col("_uid")), "left_anti")

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from oremill.llm.decontaminate import contamination
+from oremill.llm.decontaminate import clean, contamination
 
 from .test_repeats import ROW
 
@@ -65,3 +65,25 @@ def test_edges(spark):
     items = spark.createDataFrame([(None, "a b"), (7, "A B"), (7, "A B")], "item_id long, text string")
     assert sorted(tuple(r)[:4] for r in contamination(docs, items).collect()) == [(1, 0, 0, 0), (2, 2, 2, 1), (2, 2, 2, 1)]
     assert contamination(spark.createDataFrame([], ROW), items).collect() == []
+
+
+def test_long_items_are_cut_and_lose_no_window(spark):
+    docs, items = case(2)
+    items = [*items, (60, " ".join(t or "" for _, t in items)), (61, " ".join(t or "" for _, t in docs[4:40]))]
+    docs = [*docs, (4, "another text of document 4"), (4, docs[4][1])]
+    d = spark.createDataFrame([(*x, "u") for x in docs], "doc_id long, text string, uid string").repartition(3)
+    b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, part int")
+    want = sorted(brute(docs, items))
+    assert any(w[2] > 100 for w in want)
+    for limit in (4000, 1 << 20):
+        assert sorted(set(tuple(r) for r in contamination(d, b, limit=limit).collect())) == want
+        assert sorted((r.doc_id, r.text or "") for r in clean(d, b, limit=limit).collect()) == sorted((i, t or "") for i, t in docs if not next(iter(brute([(i, t)], items)))[5])
+
+
+def test_an_item_longer_than_a_slice_and_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(1_600_000)]
+    docs = [(1, " ".join(words[1_500_000:1_500_030])), (2, "no such words " * 9), (3, " ".join(words[:200_000]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([("long", " ".join(words)), ("other", "u v w")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in contamination(d, b).collect()}
+    assert got == {1: (30, 30, 1), 2: (27, 0, 0), 3: (200_000, 200_000, 1)}
