@@ -5,16 +5,21 @@ space) in DIM hashed places, square-rooted and scaled to length one.  Languages
 vectors are close form families; a linear classifier a family picks the family, and within
 it one-versus-one linear support vector machines vote.
 
-The classifiers are fitted on the driver, on a sample of at most SAMPLE labelled rows (equal
-shares of the languages, chosen by a hash); everything else runs where the rows are.
+The classifiers are fitted on the driver, on a sample of at most SAMPLE labelled rows: of each
+language the same number, those with the smallest hashes of doc_id, so that none is left without a row (of
+more languages than SAMPLE the most frequent are learned).  Everything else runs where the rows are.
 
 Text that is null or has no letter is `und` with score 0.  Without any labelled row every
 text is; with one language every other text is that language.  Rows with a null doc_id
-are left out; repeated rows give repeated, equal results.
+are left out; repeated rows give repeated, equal results.  Of languages with equal votes the surer one wins, and of
+equally sure ones the first in alphabetical order.  Texts count whole; a very long one is walked in pieces.  Columns
+other than doc_id, text and (for `fit`) lang are not read; `labelled` hands them on.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +41,22 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[ord("a") : ord("z") + 1] = _ASCII_LETTER[ord("A") : ord("Z") + 1] = True
 
 
+#: Bytes of text whose trigrams are counted at once.
+PIECE = 4 << 20
+
+
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of DIM values for each text."""
+    if len(off) == 2 and len(data) > PIECE:  # one very long text: pieces that share two bytes have its trigrams
+        cuts = range(0, len(data) - 2, PIECE)
+        x = sum(trigrams(data[a : a + PIECE + 2], np.array([0, min(PIECE + 2, len(data) - a)])) for a in cuts)
+    else:
+        x = trigrams(data, off)
+    np.sqrt(x, out=x)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def trigrams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     x = np.zeros((n, DIM), np.float32)
     if len(data) > 2:
@@ -51,8 +70,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             ok[at[at < len(h)]] = False
         ok &= h != _SPACES
         x = np.bincount(row[ok] * DIM + h[ok], minlength=n * DIM).reshape(n, DIM).astype(np.float32)
-    np.sqrt(x, out=x)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 _SPACES = int((0x20 * (0x9E3779B1 + 0x85EBCA77 + 0xC2B2AE3D)) % 2**32) >> 20
@@ -72,11 +90,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 120, reg: float = 1e-4
     for s in (1, -1):  # both sides of a machine weigh the same
         weight += (y == s) / np.maximum((y == s).sum(0), 1)
     w = v = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
-    rate, t = 0.2, 1.0
+    rate, t = 0.2, 1.0  # a number of Python's own leaves arrays in 32 bits
     for _ in range(steps):
         pull = weight * y * np.maximum(1 - y * (x @ v[:-1] + v[-1]), 0)
         new = v - rate * (reg * v - np.concatenate([x.T @ pull, pull.sum(0, keepdims=True)]))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
 
@@ -134,7 +152,7 @@ def sample_rows(batches):
         out = []
         for a, b in A.slices(off):
             out += [x.tobytes() for x in (features(data[off[a] : off[b]], off[a : b + 1] - off[a]) * 65535).astype(np.uint16)]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], ["lang", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("level"), pa.array(out, pa.binary())], ["lang", "level", "x"])
 
 
 def fold(folds: int):
@@ -147,17 +165,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], None, None)
-    langs = sorted(counts)[:sample]
+    langs = sorted(counts, key=lambda k: (-counts[k], k))[:sample]
     share = max(1, sample // len(langs))
-    level = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    part = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, share / counts[k]))))
-    picked = binary_text(rows.where(level < part[F.col("lang")]), F.col("lang").cast("string").alias("lang"))
-    names, x = [], np.zeros((2 * sample + 100, DIM), np.float32)
-    for r in picked.mapInArrow(sample_rows, "lang string, x binary").limit(len(x)).toLocalIterator():
-        x[len(names)] = np.frombuffer(r.x, np.uint16)
-        names.append(r.lang)
-    langs, x = sorted(set(names)), x[: len(names)]
+    level = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    kept: dict[str, list[tuple[int, bytes]]] = {k: [] for k in langs}
+    for more in (1.2, 8):  # the rows below a level that leaves a little more than `share`; again where chance left fewer
+        short = [k for k in langs if len(kept[k]) < min(share, counts[k])]
+        if not short:
+            break
+        bound = F.create_map(*(F.lit(v) for k in short for v in (k, min(1 << 30, math.ceil((more * share + 10) / counts[k] * (1 << 30))))))
+        below = rows.withColumn("level", level).where(F.col("level") < bound[F.col("lang")])
+        picked = binary_text(below, F.col("lang").cast("string").alias("lang"), "level")
+        for k in short:
+            kept[k] = []
+        for r in picked.mapInArrow(sample_rows, "lang string, level long, x binary").collect():  # some 1.2 * sample rows
+            kept[r.lang].append((r.level, bytes(r.x)))
+    names = [k for k in sorted(langs) for _ in sorted(kept[k])[:share]]
+    x = np.frombuffer(b"".join(v for k in sorted(langs) for _, v in sorted(kept[k])[:share]), np.uint16).reshape(-1, DIM).astype(np.float32)
     x /= 65535
+    langs = sorted(set(names))
     return Model(langs, x, np.array([langs.index(n) for n in names]))
 
 
