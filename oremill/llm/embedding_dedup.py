@@ -268,7 +268,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, probes: int | None =
             m_blocks[c.cell], v_blocks[c.cell], first[c.cell] = -(-c.m // MEMBERS), -(-c.v // VISITORS), base
             base += int(m_blocks[c.cell] * v_blocks[c.cell])
     kind = "<f4" if "float" in dict(folded.dtypes)["embedding"] else "<f8"
-    blocks = meet(folded.mapInArrow(send_blocks(shared, spark.sparkContext.broadcast(plan), kind), BLOCK_SCHEMA), "key")
+    blocks = meet(folded.mapInArrow(send_blocks(shared, spark.sparkContext.broadcast(plan), kind), BLOCK_SCHEMA), base // 4, "key")
     found = stage.write(blocks.mapInArrow(compare_blocks(cosine, kind, probes is None or probes >= len(centres)), FOUND_SCHEMA))
     links = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
     leads = folded.join(links, "vec_id").select("embedding", F.col("vec_id").alias("lead"), "links")

@@ -305,7 +305,7 @@ class FingerprintIndex:
         """(doc_id, start, stop) of repeated words, from what one or more batches gave.  docs: all documents that went in;
         only those with candidates are read out."""
         cands = found.where("grp is not null").groupBy("doc_id", "start", "stop", "grp", "n").agg(F.max("hot").alias("hot"))
-        words = meet(with_lists(binary_text(docs), cands, ["start", "stop", "grp", "hot", "n"], "inner").mapInArrow(send_words(self.n), BLOB_SCHEMA))
+        words = meet(with_lists(binary_text(docs), cands, ["start", "stop", "grp", "hot", "n"], "inner").mapInArrow(send_words(self.n), BLOB_SCHEMA), self.n)
         verified = self.stage.write(words.mapInArrow(verify(self.window), DIGEST_SCHEMA))
         leads = verified.where("h1 is not null").select("doc_id", "start", "stop", "h1", "h2").distinct()
         again = leads.groupBy("h1", "h2").count().where("count > 1")

@@ -356,10 +356,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     stage, n = Stage(spark), buckets(docs)
     texts = binary_text(docs)
-    sent = meet(texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA))
+    sent = meet(texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA), n)
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))
     base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, to long, lead boolean")
-    prefixes = meet(meet(counted).mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA))
+    prefixes = meet(meet(counted, n).mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA), n)
     forests = meet(prefixes.mapInArrow(join_prefixes(buckets(docs, MERGED, 1)), BLOB_SCHEMA))
     groups = components(forests.mapInArrow(merge_forests, EDGE_SCHEMA), stage)
     nodes = groups.unionByName(groups.select("g", F.col("b").alias("a"), "b").distinct())
@@ -368,7 +368,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     # each set: its smallest lead stands for it in the graph, and its smallest text may name the component
     each = stage.write(base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("lead"), F.col("doc_id"))).alias("lead_id"), F.min("doc_id").alias("low"), F.first("n").alias("n")))
     families = stage.write(labels.join(each.groupBy(F.col("lead_id").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"))
-    sets = meet(with_lists(texts, block_keys(families, num, den, block), ["key"], "inner").mapInArrow(send_sets(size, n), BLOB_SCHEMA))
+    sets = meet(with_lists(texts, block_keys(families, num, den, block), ["key"], "inner").mapInArrow(send_sets(size, n), BLOB_SCHEMA), n)
     links = sets.mapInArrow(verify_blocks(num, den), EDGE_SCHEMA)
     # leads of one doc_id with unequal texts, and leads of one set in several tasks, belong together
     leads = base.where("lead").select("doc_id", "h1", "h2").distinct().join(each.select("h1", "h2", "lead_id"), ["h1", "h2"])

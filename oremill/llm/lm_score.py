@@ -581,7 +581,7 @@ def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     stage, n = Stage(spark), buckets(train)
     share = spark.sparkContext.broadcast
     texts = binary_text(train)
-    counts = stage.write(meet(texts.mapInArrow(count_words(n), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA))
+    counts = stage.write(meet(texts.mapInArrow(count_words(n), BLOB_SCHEMA), n).mapInArrow(sum_buckets, BLOB_SCHEMA))
     words = counts.where(F.col("bucket") >= 0)
     stats = {r.k: (r.types, r.tokens) for r in words.mapInArrow(word_stats, STATS_SCHEMA).groupBy("k").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()}
     types, tokens = (sum(v[i] for k, v in stats.items() if k >= 0) for i in (0, 1))
@@ -599,7 +599,7 @@ def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k, (t, c_k) in stats.items():
         if k >= 0:
             held[of[k]] += c_k + 0.5 * t
-    events = stage.write(meet(texts.mapInArrow(count_contexts(share(of), n), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA))
+    events = stage.write(meet(texts.mapInArrow(count_contexts(share(of), n), BLOB_SCHEMA), n).mapInArrow(sum_buckets, BLOB_SCHEMA))
     w = fit(stage.write(meet(events.mapInArrow(back_off_events(min(n, 256)), BLOB_SCHEMA)).mapInArrow(sum_buckets, BLOB_SCHEMA)), held / held.sum(), rounds)
     weights = share(w)
     sizes = {r.k: r.n for r in events.mapInArrow(context_sizes, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
@@ -610,5 +610,5 @@ def score(docs: DataFrame, train: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sent = binary_text(docs).mapInArrow(send_scores(share((keys, c, of, often[order], lp, np.log10(held))), n), SENT_SCHEMA)
     for name, table in zip(TABLES, (words, events)):
         sent = sent.unionByName(table.select(F.col("bucket").cast("long").alias("bucket"), F.col("body").alias(name)), allowMissingColumns=True)
-    summed_up = meet(sent).mapInArrow(meet_counts(weights, n), BLOB_SCHEMA)
-    return meet(summed_up).mapInArrow(total_scores(tokens, types), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    summed_up = meet(sent, n).mapInArrow(meet_counts(weights, n), BLOB_SCHEMA)
+    return meet(summed_up, n).mapInArrow(total_scores(tokens, types), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

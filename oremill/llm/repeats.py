@@ -403,10 +403,10 @@ def repeated_spans(docs: DataFrame, window: int = 100, group: int = GROUP, hot:
     spark = docs.sparkSession
     stage, n, gram = Stage(spark), buckets(docs), max(8, min(32, window // 3))
     texts = binary_text(docs)
-    sent = meet(texts.mapInArrow(send_fragments(window, gram, n, hot), BLOB_SCHEMA))
+    sent = meet(texts.mapInArrow(send_fragments(window, gram, n, hot), BLOB_SCHEMA), n)
     found = stage.write(sent.mapInArrow(settle_fragments(window, n, group), SPAN_SCHEMA))
     cands = with_lists(texts, found.where("grp is not null"), ["start", "stop", "grp", "hot", "n"], "inner")
-    blobs = meet(cands.mapInArrow(send_candidates(n), BLOB_SCHEMA))
+    blobs = meet(cands.mapInArrow(send_candidates(n), BLOB_SCHEMA), n)
     compared = stage.write(blobs.mapInArrow(compare_candidates(window), DIGEST_SCHEMA))
     leads = compared.where("h1 is not null")
     firsts = leads.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")

@@ -72,9 +72,16 @@ def buckets(docs: DataFrame, each: int = 2 << 20, least: int = 64) -> int:
     return max(least, min(size // each, (1 << 31) - 1))
 
 
-def meet(df: DataFrame, key: str = "bucket") -> DataFrame:
-    """Rows dealt by `key` and sorted by it (Spark spills the sort), for `met` to walk bucket by bucket."""
-    return df.repartition(key).sortWithinPartitions(key)
+#: Buckets that a task walks through where there are more than the session's shuffle partitions can take.
+TASK_BUCKETS = 16
+
+
+def meet(df: DataFrame, n_buckets: int = 0, key: str = "bucket") -> DataFrame:
+    """Rows dealt by `key` and sorted by it (Spark spills the sort), for `met` to walk bucket by bucket.  Tasks are as many
+    as the session's shuffle partitions, or more where these would hold too many of the buckets each."""
+    tasks = n_buckets // TASK_BUCKETS
+    more = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartition(tasks, key) if more else df.repartition(key)).sortWithinPartitions(key)
 
 
 def met(batches, *names: str):
