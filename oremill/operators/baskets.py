@@ -1,12 +1,14 @@
 """Frequent itemsets by levels, and association rules.
 
-A basket keeps its frequent items as one sorted array, so a level extends itemsets inside the
-row: no join on the basket, one shuffle for the counts.  Candidates are pruned before counting
+An occurrence of an itemset keeps the frequent items that its basket has after it, so a level extends itemsets
+inside the row: no join on the basket, one shuffle for the counts.  Candidates are pruned before counting
 (every subset frequent) and meet the occurrences as a semi-join.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,25 +40,42 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
     return subs.join(frequent.select(F.col("itemset").alias("sub")), "sub").groupBy("itemset").count().where(F.col("count") == k).select("itemset")
 
 
-def frequent_itemsets(trx: DataFrame, min_support: int, max_size: int | None = None) -> DataFrame:
-    """(k, itemset, support) with support >= min_support, itemsets as sorted arrays."""
-    ones = saved(item_counts(trx.where("item is not null")).where(F.col("support") >= min_support))
+def frequent_itemsets(trx: DataFrame, min_support: int, max_size: int | None = None, levels: list | None = None) -> DataFrame:
+    """(k, itemset, support) with support >= min_support, itemsets as sorted arrays.
+
+    levels: a list that gets (k, candidates that occur, frequent itemsets, seconds) of each level.
+    """
+    start = time.perf_counter()
+    counts = saved(item_counts(trx.where("item is not null")))
+    ones = saved(counts.where(F.col("support") >= min_support))
     level = ones.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
     found = level
-    held = saved(trx.select("tid", "item").distinct().join(ones.select("item"), "item", "left_semi").groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") > 1).select("items"))
-    occ = held.select("items", F.explode("items").alias("i")).select("items", F.array("i").alias("itemset"))
-    k = 1
-    while max_size is None or k < max_size:
+    held = trx.select("tid", "item").distinct().join(ones.select("item"), "item", "left_semi").groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("rest"))
+    # an occurrence: an itemset, and the items of its basket that come after
+    rest_after = lambda at: F.slice("rest", at + 2, F.greatest(F.size("rest") - at - 1, F.lit(0)))
+    occ = held.where(F.size("rest") > 1).select(F.array().cast(f"array<{dict(trx.dtypes)['item']}>").alias("itemset"), "rest")
+    occ = occ.select("itemset", "rest", F.posexplode("rest").alias("at", "i")).select(F.array("i").alias("itemset"), rest_after(F.col("at")).alias("rest"))
+    k, n_candidates = 1, counts.count() if levels is not None else 0
+    while True:
+        if levels is not None:
+            levels.append((k, n_candidates, level.count(), time.perf_counter() - start))
+        start = time.perf_counter()
+        if max_size is not None and k >= max_size:
+            return found
         k += 1
-        longer = occ.select("items", "itemset", F.explode(F.filter("items", lambda v: v > F.element_at("itemset", -1))).alias("i")).select("items", F.concat("itemset", F.array("i")).alias("itemset"))
+        longer = occ.where(F.size("rest") > 0).select("itemset", "rest", F.posexplode("rest").alias("at", "i")).select(F.concat("itemset", F.array("i")).alias("itemset"), rest_after(F.col("at")).alias("rest"))
         if k > 2:  # any two frequent items are a candidate
             longer = longer.join(candidates(level, k), "itemset", "left_semi")
-        level = saved(longer.groupBy("itemset").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).select(F.lit(k).alias("k"), "itemset", "support"))
+        longer = saved(longer)
+        counts = saved(longer.groupBy("itemset").agg(F.count("*").alias("support")))
+        level = counts.where(F.col("support") >= min_support).select(F.lit(k).alias("k"), "itemset", "support")
+        n_candidates = counts.count() if levels is not None else 0
         if level.isEmpty():
-            break
+            if levels is not None:
+                levels.append((k, n_candidates, 0, time.perf_counter() - start))
+            return found
         found = found.unionByName(level)
-        occ = saved(longer.join(level, "itemset", "left_semi").where(F.element_at("items", -1) > F.element_at("itemset", -1)))
-    return found
+        occ = longer.join(level.select("itemset"), "itemset", "left_semi")
 
 
 def proper_subsets(itemsets: DataFrame) -> DataFrame:
@@ -101,6 +120,12 @@ class BasketMiner:
         self.itemsets = saved(frequent_itemsets(self.trx, self.min_support))
         return self
 
+    def summary(self) -> DataFrame:
+        """(k, candidates, itemsets, seconds) of each level; mines anew."""
+        levels: list = []
+        frequent_itemsets(self.trx, self.min_support, levels=levels)
+        return self.trx.sparkSession.createDataFrame(levels, "k int, candidates long, itemsets long, seconds double")
+
     def rules(self, min_confidence: float = 0.5, fractional: bool = False) -> DataFrame:
         if fractional:
             return ordered_rules(rules_fraction(self.itemsets, self.n, min_confidence, self.min_support / self.n if self.n else 0.0))

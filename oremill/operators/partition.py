@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oremill.functions.hashing import hash_order, md5_32
+from oremill.functions.ranks import positions
 from oremill.functions.saved import saved
 
 POLICIES = ("RANDOM", "HYBRID", "LOCAL", "NONE")
@@ -90,9 +91,12 @@ def neighbor_sample(arcs: DataFrame, size: int, salt: object = 0) -> DataFrame:
 
 
 def uniform_sample(ids: DataFrame, size: int, n: int, salt: object = 0) -> DataFrame:
-    """(p, q): up to `size` distinct ids other than p, drawn by hash from 1..n, 3 * size draws at most."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(3 * size)), lambda j: 1 + F.pmod(md5_32(F.concat_ws("|", F.lit(str(salt)), F.col("id").cast("string"), j.cast("string"))), F.lit(n)))
-    picked = F.slice(F.array_distinct(F.filter(draws, lambda q: q != F.col("id"))), 1, size)
+    """(p, q): `size` distinct ids other than p (all others, where they are fewer), drawn by hash from 1..n: 3 * size draws,
+    and where these repeat too often the ids that follow the first draw."""
+    draw = lambda j: F.pmod(md5_32(F.concat_ws("|", F.lit(str(salt)), F.col("id").cast("string"), j.cast("string"))), F.lit(n))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(3 * size)), lambda j: 1 + draw(j))
+    walk = F.transform(F.sequence(F.lit(1), F.lit(2 * size + 1)), lambda j: 1 + F.pmod(draw(F.lit(1)) + j, F.lit(n)))
+    picked = F.slice(F.array_distinct(F.filter(F.concat(draws, walk), lambda q: q != F.col("id"))), 1, size)
     return ids.select(F.col("id").alias("p"), F.explode(picked).alias("q"))
 
 
@@ -145,19 +149,38 @@ class Jabeja:
 
     def __init__(self, vertices: DataFrame, arcs: DataFrame, config: PartitionConfig | None = None):
         self.config, self.arcs = config or PartitionConfig(), arcs
-        self.vertices, self.n = vertices, vertices.count()
+        self.vertices = vertices
+        low, high, self.n = vertices.agg(F.min("id"), F.max("id"), F.count("*")).first()
+        # ids with gaps are drawn by their place in order
+        self.places = None if not self.n or (low, high) == (1, self.n) else saved(positions(vertices.select("id"), "id").select("id", (F.col("pos") + 1).alias("place")))
         self.temperature, self.swaps, self.round, self.rows = self.config.temperature, 0, 0, []
 
+    def far_pairs(self, ids: DataFrame) -> DataFrame:
+        """A uniform sample for each of ids."""
+        salt = f"{self.config.seed}|u|{self.round}"
+        if self.places is None:
+            return uniform_sample(ids, self.config.uniform_sample, self.n, salt)
+        drawn = uniform_sample(ids.join(self.places, "id").select(F.col("place").alias("id")), self.config.uniform_sample, self.n, salt)
+        own, other = (self.places.select(F.col("id").alias(x), F.col("place").alias(y)) for x, y in (("own", "p"), ("other", "q")))
+        return drawn.join(own, "p").join(other, "q").select(F.col("own").alias("p"), F.col("other").alias("q"))
+
+    def proposals(self) -> DataFrame:
+        """(p, q, benefit): each vertex's best partner by the policy.  HYBRID looks among neighbours first, and for those that
+        find none there, in a uniform sample."""
+        c, ids = self.config, self.vertices.select("id")
+        best = lambda pairs: best_partner(self.vertices, self.arcs, pairs.distinct(), self.temperature, c.alpha)
+        if c.policy == "RANDOM":
+            return best(self.far_pairs(ids))
+        near = best(neighbor_sample(self.arcs, c.neighbor_sample, f"{c.seed}|n|{self.round}"))
+        if c.policy == "LOCAL":
+            return near
+        near = saved(near)
+        return near.unionByName(best(self.far_pairs(ids.join(near.select(F.col("p").alias("id")), "id", "left_anti"))))
+
     def step(self) -> None:
         c = self.config
         if c.policy != "NONE":
-            ids, pairs = self.vertices.select("id"), None
-            if c.policy in ("LOCAL", "HYBRID"):
-                pairs = neighbor_sample(self.arcs, c.neighbor_sample, f"{c.seed}|n|{self.round}")
-            if c.policy in ("RANDOM", "HYBRID"):
-                far = uniform_sample(ids, c.uniform_sample, self.n, f"{c.seed}|u|{self.round}")
-                pairs = far if pairs is None else pairs.unionByName(far)
-            chosen = saved(matched(best_partner(self.vertices, self.arcs, pairs.distinct(), self.temperature, c.alpha)))
+            chosen = saved(matched(self.proposals()))
             self.swaps += chosen.count()
             self.vertices = saved(swapped(self.vertices, chosen))
         self.temperature = cooled(self.temperature, c.delta)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.linalg import Vectors
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oremill.functions.ranks import positions
+from oremill.functions.saved import saved
+from oremill.functions.ship import ship
 
 #: Nodes up to which the Laplacian is solved densely on the driver.
 DENSE = 4096
@@ -23,10 +26,11 @@ def node_index(edges: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame, binary: bool = False) -> DataFrame:
     """(i, j, w) in both directions; each listed edge adds 1 to both, so repeats weigh more, unless binary."""
-    idx = node_index(edges)
-    e = edges.where("u <> v").join(idx.select(F.col("node").alias("u"), F.col("idx").alias("i")), "u").join(idx.select(F.col("node").alias("v"), F.col("idx").alias("j")), "v").select("i", "j")
-    both = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    return both.groupBy("i", "j").agg((F.lit(1.0) if binary else F.count("*").cast("double")).alias("w"))
+    pairs = saved(edges.where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n")))
+    idx = node_index(pairs)
+    e = pairs.join(idx.select(F.col("node").alias("u"), F.col("idx").alias("i")), "u").join(idx.select(F.col("node").alias("v"), F.col("idx").alias("j")), "v").select("i", "j", "n")
+    both = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    return both.groupBy("i", "j").agg((F.lit(1.0) if binary else F.sum("n").cast("double")).alias("w"))
 
 
 def degree_vector(adj: DataFrame) -> DataFrame:
@@ -41,26 +45,75 @@ def laplacian(adj: DataFrame) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
+def multiplier(lap: DataFrame, n: int):
+    """x -> L x for blocks of vectors: the rows of L stay dealt by i, x is broadcast."""
+    spark = lap.sparkSession
+    ship(spark)
+    rows = saved(lap.select("i", "j", "value").repartition("i"))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(x)
+
+        def run(batches):
+            for batch in batches:
+                i, j, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                own, at = np.unique(i, return_inverse=True)
+                part = np.zeros((len(own), shared.value.shape[1]))
+                np.add.at(part, at, v[:, None] * shared.value[j])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([p.tobytes() for p in part], pa.binary())], ["i", "part"])
+
+        out = np.zeros_like(x)
+        for r in rows.mapInArrow(run, "i long, part binary").toLocalIterator():
+            out[r.i] += np.frombuffer(r.part)
+        shared.destroy()
+        return out
+
+    return product
+
+
+def lowest_pairs(product, n: int, k: int, depth: int = 6, rounds: int = 40, tolerance: float = 1e-7, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenpairs of a symmetric operator, by restarted block Krylov spaces: a block of more than k
+    vectors finds every copy of a multiple eigenvalue.  Holds n * (k + 4) * depth numbers."""
+    width = min(n, k + 4)
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    for _ in range(rounds):
+        basis, images = [x], [product(x)]
+        while len(basis) < depth and width * (len(basis) + 1) <= n:
+            y = images[-1].copy()
+            for _ in range(2):
+                for b in basis:
+                    y -= b @ (b.T @ y)
+            q, r = np.linalg.qr(y)
+            q = q[:, np.abs(np.diag(r)) > 1e-10]  # directions that the space holds already
+            if not q.shape[1]:
+                break
+            basis.append(q)
+            images.append(product(q))
+        space, image = np.concatenate(basis, 1), np.concatenate(images, 1)
+        values, ritz = np.linalg.eigh((space.T @ image + image.T @ space) / 2)
+        x = space @ ritz[:, :width]
+        gap = np.linalg.norm(image @ ritz[:, :k] - x[:, :k] * values[:k], axis=0)
+        if gap.max() < tolerance or space.shape[1] == n:
+            return values[:k], x[:, :k]
+        x = np.linalg.qr(x)[0]
+    raise RuntimeError(f"eigenpairs are not settled after {rounds} rounds: the residual is {gap.max():.1e}")
+
+
 def smallest_eigenpairs(lap: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenvalues, ascending, and their vectors as columns.
+    """The k smallest eigenvalues, ascending and each as often as it is one, and their vectors as columns.
 
-    Up to DENSE nodes by a dense solver, which keeps multiple eigenvalues; beyond that from the
-    largest singular pairs of 2I - L, which Spark's distributed matrix finds; that solver may
-    give a multiple eigenvalue fewer times than it has, so split such a graph into components first.
+    Up to DENSE nodes by a dense solver on the driver; beyond that by `lowest_pairs`, with products where the
+    rows of L are.  The vectors (n times k + 4, six times) are the driver's.
     """
     n = int(lap.agg(F.max("i")).first()[0] or 0) + 1
-    if n <= DENSE:
-        m = np.zeros((n, n))
-        rows = lap.select("i", "j", "value").toPandas()  # n <= DENSE, checked above
-        m[rows["i"], rows["j"]] = rows["value"]
-        values, vectors = np.linalg.eigh(m)
-        return values[:k], vectors[:, :k]
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    flipped = lap.select("i", "j", (F.when(F.col("i") == F.col("j"), 2.0).otherwise(0.0) - F.col("value")).alias("v"))
-    matrix = CoordinateMatrix(flipped.rdd.map(lambda r: MatrixEntry(r.i, r.j, r.v)), n, n).toIndexedRowMatrix()
-    svd = matrix.computeSVD(k, computeU=False)
-    return 2 - np.array(svd.s.toArray()), np.array(svd.V.toArray())
+    k = min(k, n)
+    if n > DENSE:
+        return lowest_pairs(multiplier(lap, n), n, k)
+    m = np.zeros((n, n))
+    rows = lap.select("i", "j", "value").toPandas()  # n <= DENSE, checked above
+    m[rows["i"], rows["j"]] = rows["value"]
+    values, vectors = np.linalg.eigh(m)
+    return values[:k], vectors[:, :k]
 
 
 def spectrum(lap: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,17 +123,30 @@ REPORT = "m long, variant string, t long, sample_size long, estimate double"
 def run_triest(edges: DataFrame, ms: list[int], variant: str = "base", seed: int = 0, strict_capacity: bool = True) -> DataFrame:
     """One row of REPORT for each m: the stream (seq, u, v) goes through each estimator in the order of seq.
 
-    The estimator is sequential by definition; the runs for several m go side by side.
+    The estimator is sequential by definition; the runs for several m go side by side, each in a task that holds
+    its sample and one batch of edges.
     """
     ship(edges.sparkSession)
-    sizes = edges.sparkSession.createDataFrame([(m,) for m in ms], "m long")
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["seq"]).sort_values("seq").astype({"u": "int64", "v": "int64"})
-        x = Triest(int(key[0]), variant, seed, strict_capacity).extend(zip(pdf["u"].tolist(), pdf["v"].tolist()))
-        return pd.DataFrame([(key[0], variant, x.t, x.sample_size, x.estimate())], columns=["m", "variant", "t", "sample_size", "estimate"])
-
-    return sizes.join(edges.select("seq", "u", "v"), F.lit(True), "left").groupBy("m").applyInPandas(one, REPORT)
+    ms = sorted(set(ms))
+    sent = edges.where("seq is not null").select("seq", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.explode(F.array(*(F.lit(m).cast("long") for m in ms))).alias("m"))
+
+    def run(batches):
+        now, x = None, None
+        row = lambda: pa.RecordBatch.from_pylist([{"m": now, "variant": variant, "t": x.t, "sample_size": x.sample_size, "estimate": x.estimate()}])
+        for batch in batches:
+            m, u, v = (batch.column(k).to_pylist() for k in ("m", "u", "v"))
+            for key, a, b in zip(m, u, v):
+                if key != now:
+                    if x is not None:
+                        yield row()
+                    now, x = key, Triest(int(key), variant, seed, strict_capacity)
+                x.add(a, b)
+        if x is not None:
+            yield row()
+
+    none = edges.sparkSession.createDataFrame([(m, variant, 0, 0, 0.0) for m in ms], REPORT)  # for a stream without edges
+    every = sent.repartition("m").sortWithinPartitions("m", "seq").mapInArrow(run, REPORT).unionByName(none)
+    return every.groupBy("m").agg(F.max_by(F.struct("variant", "t", "sample_size", "estimate"), "t").alias("x")).select("m", "x.*")
 
 
 def bottom_sample(edges: DataFrame, m: int, salt: object = 0) -> DataFrame:

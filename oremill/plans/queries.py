@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oremill.functions.hashing import PRIME, hash_family
+from oremill.functions.ranks import positions
+from oremill.functions.saved import shared_path
 from oremill.operators import baskets as B
 from oremill.operators import graph as G
 from oremill.operators import partition as P
@@ -88,7 +90,7 @@ def minhash_signature(spark, sf):
     return x.select(F.col("doc_id").alias("item_id"), F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-@query()
+@query(f"WITH {_shingles('documents', 10)}, {_signatures(100)} SELECT doc_id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY i) AS signature FROM sg GROUP BY 1")
 def minhash_signature_documents(spark, sf):
     x = S.signatures(table(spark, sf, "documents"), keep_empty=False)
     return x.select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
@@ -134,14 +136,24 @@ def corpus_lsh_pairs(spark, sf):
     return S.SimilarityPipeline(R.builtin_corpus(spark)).pairs.select("doc_a", "doc_b", r9(F.col("estimate"), "estimate"))
 
 
-@query()
+#: Documents by equal signature, and the signatures and buckets of the smallest of each class.
+_CLASSES = (
+    f"{_shingles('documents', 10)}, {_signatures(100).replace('sg AS', 'sa AS')}, whole AS (SELECT doc_id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY i) AS signature FROM sa GROUP BY 1), "
+    "cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY signature) AS representative FROM whole), sg AS (SELECT sa.* FROM sa SEMI JOIN cl ON sa.doc_id = cl.representative)"
+)
+
+
+@query(
+    f"WITH {_CLASSES}, {_BUCKETS}, c AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM bk a JOIN bk b ON a.band = b.band AND a.bucket = b.bucket AND a.doc_id < b.doc_id) "
+    "SELECT doc_a, doc_b, avg(CASE WHEN x.h = y.h THEN 1.0 ELSE 0.0 END) AS estimate FROM c JOIN sg x ON x.doc_id = doc_a JOIN sg y ON y.doc_id = doc_b AND x.i = y.i GROUP BY 1, 2 HAVING avg(CASE WHEN x.h = y.h THEN 1.0 ELSE 0.0 END) >= 0.8"
+)
 def lsh_pairs(spark, sf):
     """Pairs of documents with different signatures, each class of equal ones under its smallest doc_id; see lsh_classes."""
     sigs = S.signatures(table(spark, sf, "documents"), keep_empty=False)
     return S.LSH(100, 0.8).pairs(S.saved(S.representatives(sigs)))
 
 
-@query()
+@query(f"WITH {_CLASSES} SELECT doc_id, representative FROM cl")
 def lsh_classes(spark, sf):
     return S.classes(S.signatures(table(spark, sf, "documents"), keep_empty=False))
 
@@ -256,6 +268,138 @@ def itemset_report(spark, sf):
     return K.itemset_lines(m.itemsets).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {_levels('p_type', 10.0, 6)}, {_SPLITS}, r AS (SELECT lhs, rhs, support, support / lhs_support AS confidence FROM split JOIN base USING (lhs) WHERE support / lhs_support >= 0.5) SELECT row_number() OVER (ORDER BY confidence DESC, support DESC, string_split(lhs, '|'), string_split(rhs, '|')) AS rank, lhs, rhs FROM r")
+def rules_ordered(spark, sf):
+    m = B.BasketMiner(type_baskets(spark, sf), min_support_percent=10.0).fit()
+    x = m.rules(0.5).select("lhs", "rhs", F.monotonically_increasing_id().alias("at"))
+    return positions(x, "at").select((F.col("pos") + 1).alias("rank"), F.array_join("lhs", "|").alias("lhs"), F.array_join("rhs", "|").alias("rhs"))
+
+
+def _rule_report(values: str, line: str, least: str) -> str:
+    return (
+        f"WITH {_levels('p_type', 10.0, 6)}, {_SPLITS}, n AS (SELECT count(DISTINCT tid) AS n FROM trx), r AS (SELECT lhs, rhs, {values} FROM split JOIN base USING (lhs), n WHERE {least}) "
+        f"SELECT row_number() OVER (ORDER BY confidence DESC, support DESC, string_split(lhs, '|'), string_split(rhs, '|')) AS rank, '{{' || replace(lhs, '|', ', ') || '}} -> {{' || replace(rhs, '|', ', ') || '}} ' || {line} AS line FROM r"
+    )
+
+
+@query(_rule_report("support, support / lhs_support AS confidence", "printf('support: %d, confidence: %.4f', support, confidence)", "support / lhs_support >= 0.5"))
+def rules_report(spark, sf):
+    m = B.BasketMiner(type_baskets(spark, sf), min_support_percent=10.0).fit()
+    return K.rule_lines(m.rules(0.5))
+
+
+@query(_rule_report("support / n AS support, support / lhs_support AS confidence", "printf('support: %.3f, conf: %.3f', support, confidence)", "support / lhs_support + 1e-12 >= 0.5"))
+def rules_report_fraction(spark, sf):
+    m = B.BasketMiner(type_baskets(spark, sf), min_support_percent=10.0).fit()
+    return K.rule_lines(m.rules(0.5, fractional=True), fractional=True)
+
+
+@query(f"WITH {_levels('p_brand', 0.3)} SELECT k, count(*) AS itemsets, CAST(sum(support) AS BIGINT) AS total FROM sets GROUP BY 1 UNION ALL SELECT max(k) + 1, 0, 0 FROM sets")
+def mining_summary(spark, sf):
+    """Levels of the miner, the last one empty; times are left out."""
+    levels: list = []
+    m = B.BasketMiner(brand_baskets(spark, sf), min_support_percent=0.3)
+    found = B.frequent_itemsets(m.trx, m.min_support, levels=levels)
+    per = spark.createDataFrame([(k, n) for k, _, n, _ in levels], "k int, itemsets long")
+    return per.join(found.groupBy("k").agg(F.sum("support").alias("total")), "k", "left").select("k", "itemsets", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+# --- sources, each over files written from the tables -------------------------------------------
+
+
+def written(lines: DataFrame, **options: str) -> str:
+    """The path of a text written from (value)."""
+    path = shared_path(lines.sparkSession)
+    lines.write.options(**options).text(path)
+    return path
+
+
+def part_file(spark, path: str) -> str:
+    """The one file of a text that was written from one partition."""
+    return spark.read.text(path).select("_metadata.file_path").first()[0]
+
+
+@query("SELECT doc_id AS folder, text FROM (VALUES " + ", ".join(f"('{i}', '{t}')" for i, t in R.CORPUS) + ") t(doc_id, text)")
+def source_text_documents(spark, sf):
+    top = shared_path(spark)
+    R.builtin_corpus(spark).repartition("doc_id").select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(top)
+    d = R.text_documents(spark, top)
+    return d.select(F.regexp_replace(F.element_at(F.split("doc_id", r"\\"), 1), "^doc_id=", "").alias("folder"), F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+@query("SELECT string_agg('row ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation")
+def source_file_text(spark, sf):
+    rows = table(spark, sf, "nation").repartition(1).sortWithinPartitions("n_nationkey").select(F.concat(F.lit("row "), F.col("n_nationkey").cast("string"), F.lit(": "), "n_name").alias("value"))
+    return R.file_text(spark, part_file(spark, written(rows))).select(F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+_ORDER_LINES = "o AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)) AS items FROM {} GROUP BY 1)"
+
+
+def order_lines(spark, sf):
+    """(value): an order's parts in a line, a comment and a blank line beside each."""
+    x = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "  ").alias("p"))
+    return x.select(F.explode(F.array(F.col("p"), F.lit("# a comment"), F.lit("  "))).alias("value"))
+
+
+@query(f"WITH {_ORDER_LINES.format('lineitem')} SELECT items, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT '#|a|comment', count(*) FROM o")
+def source_transactions(spark, sf):
+    x = R.transactions(spark, written(order_lines(spark, sf)))
+    return x.groupBy(F.array_join(F.array_sort("items"), "|").alias("items")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ORDER_LINES.format('(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)')} SELECT items, count(*) AS n FROM o GROUP BY 1")
+def source_transaction_sets(spark, sf):
+    x = R.transactions(spark, written(order_lines(spark, sf)), comments=True, distinct=True)
+    return x.groupBy(F.array_join(F.array_sort("items"), "|").alias("items")).agg(F.count("*").alias("n"))
+
+
+_LOOPED = "SELECT user_id AS u, user_id * 7 % 151 AS v FROM events WHERE user_id <> user_id * 7 % 151"
+
+
+def event_pairs(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("u"), (F.col("user_id") * 7 % 151).cast("string").alias("v"))
+
+
+@query(_LOOPED)
+def source_edge_stream(spark, sf):
+    lines = event_pairs(spark, sf).select(F.explode(F.array(F.concat("u", F.lit(" \t"), "v"), F.lit("# head"), F.col("u"))).alias("value"))
+    return R.edge_stream(spark, written(lines, compression="gzip")).select("u", "v")
+
+
+@query(_LOOPED)
+def source_edge_csv(spark, sf):
+    lines = event_pairs(spark, sf).select(F.explode(F.array(F.concat("u", F.lit(", "), "v", F.lit(",9")), F.lit(" "), F.col("u"))).alias("value"))
+    return R.edge_csv(spark, written(lines))
+
+
+def metis_lines(spark, sf):
+    """(value): the graph of parts as a METIS file, whose vertices count from 1 where parts count from 0."""
+    v, arcs = part_graph(spark, sf)
+    near = arcs.groupBy(F.col("u").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("v") + 1)).cast("array<string>"), " ").alias("p"))
+    body = v.select("id").join(near, "id", "left").select((F.col("id") + 1).alias("no"), F.coalesce("p", F.lit("")).alias("value"))
+    head = v.agg(F.count("id")).join(arcs.agg(F.count("*").alias("m"))).toDF("n", "m").select(F.lit(0).cast("long").alias("no"), F.concat_ws(" ", F.col("n").cast("string"), F.floor(F.col("m") / 2).cast("string")).alias("value"))
+    remark = head.select(F.lit(-1).cast("long").alias("no"), F.lit("% a remark").alias("value"))
+    return body.unionByName(head).unionByName(remark).repartition(1).sortWithinPartitions("no").select("value")
+
+
+@query("WITH pp AS (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) SELECT u, v FROM pp UNION ALL SELECT v, u FROM pp")
+def source_metis_arcs(spark, sf):
+    return R.metis_graph(spark, part_file(spark, written(metis_lines(spark, sf))))[1].select((F.col("u") - 1).alias("u"), (F.col("v") - 1).alias("v"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id FROM part")
+def source_metis_vertices(spark, sf):
+    return R.metis_graph(spark, part_file(spark, written(metis_lines(spark, sf))))[0].select((F.col("id") - 1).alias("id"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey AS BIGINT) % 4 AS label FROM part")
+def source_partition_labels(spark, sf):
+    v = P.colored(parts(spark, sf), "ROUND_ROBIN", 4, 0).repartition(1).sortWithinPartitions("id")
+    x = R.partition_labels(spark, part_file(spark, written(v.select(F.concat(F.lit(" "), F.col("color").cast("string")).alias("value")))))
+    return x.select((F.col("id") - 1).alias("id"), "label")
+
+
 # --- graphs and streams -------------------------------------------------------------------------
 
 
@@ -389,6 +533,16 @@ def eigengap(spark, sf):
     return L.eigengap_k(L.spectrum(L.laplacian(L.adjacency(brand_edges(spark, sf))), 11)).select(F.col("k").cast("long").alias("k"))
 
 
+SPECTRUM = [0.0, 0.0, 0.0, 0.19, 0.2, 0.65, 0.7, 1.0, 1.1, 1.2, 1.9, 2.0]
+
+
+@query("WITH s(idx, v) AS (VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(SPECTRUM)) + "), g AS (SELECT idx, lead(v) OVER (ORDER BY idx) - v AS gap FROM s WHERE idx <= 10) SELECT CAST(idx + 1 AS BIGINT) AS k FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, idx LIMIT 1")
+def eigengap_of_table(spark, sf):
+    """The widest gap of a fixed spectrum."""
+    spec = spark.createDataFrame(list(enumerate(SPECTRUM)), "idx long, eigenvalue double")
+    return L.eigengap_k(spec).select(F.col("k").cast("long").alias("k"))
+
+
 @query()
 def spectral_labels(spark, sf):
     return L.SpectralClustering(k=3).fit(brand_edges(spark, sf)).labels
@@ -464,7 +618,7 @@ def neighbor_sample(spark, sf):
 
 
 @query(
-    f"WITH {_IDS}, d AS (SELECT id AS p, j, 1 + CAST(concat('0x', substr(md5('0|' || id || '|' || j), 25, 8)) AS BIGINT) % n AS q FROM ids, n, (SELECT unnest(generate_series(1, 18)) AS j)), "
+    f"WITH {_IDS}, d AS (SELECT id AS p, j, 1 + CAST(concat('0x', substr(md5('0|' || id || '|' || j), 25, 8)) AS BIGINT) % n AS q FROM ids, n, (SELECT unnest(generate_series(1, 18)) AS j) UNION ALL SELECT id, 18 + j, 1 + (CAST(concat('0x', substr(md5('0|' || id || '|1'), 25, 8)) AS BIGINT) % n + j) % n FROM ids, n, (SELECT unnest(generate_series(1, 13)) AS j)), "
     "f AS (SELECT p, q, min(j) AS j FROM d WHERE q <> p GROUP BY 1, 2) SELECT p, q FROM (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY j) AS r FROM f) WHERE r <= 6"
 )
 def uniform_sample(spark, sf):

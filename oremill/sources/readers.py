@@ -7,9 +7,11 @@ import tarfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oremill.functions.saved import saved
+
 # The built-in corpus and transactions.
 CORPUS = [
     ("doc1", "Locality-sensitive hashing is used for near-duplicate detection in large corpora."),
@@ -102,8 +104,14 @@ def edge_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(no, line) from 0, of one file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "line"))
+    """(no, line) from 0, of one file.  Its blocks are read by as many tasks; a table of a row for each block gives the
+    lines before it."""
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = saved(lines)
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(blocks, "block").select((F.col("before") + F.col("at") - F.col("first")).alias("no"), "line")
 
 
 def metis_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

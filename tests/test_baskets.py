@@ -55,3 +55,11 @@ def test_empty(spark):
     d = spark.createDataFrame([], "tid long, item string")
     m = B.BasketMiner(d, min_support=1).fit()
     assert m.itemsets.collect() == [] and m.rules(0.5).collect() == [] and m.rules(0.5, fractional=True).collect() == []
+
+
+def test_summary_of_levels(spark):
+    from oremill.operators.baskets import BasketMiner
+    from oremill.sources.readers import builtin_transactions
+
+    rows = BasketMiner(builtin_transactions(spark), min_support=2).summary().orderBy("k").collect()
+    assert [(r.k, r.candidates, r.itemsets) for r in rows] == [(1, 5, 4), (2, 6, 4), (3, 1, 1), (4, 0, 0)] and all(r.seconds >= 0 for r in rows)

@@ -116,3 +116,20 @@ def test_distributed_eigenvalues(spark, monkeypatch):
     monkeypatch.setattr(L, "DENSE", 1)
     sparse, vectors = L.smallest_eigenpairs(lap, 4)
     assert np.allclose(sorted(sparse), dense, atol=1e-4) and vectors.shape == (40, 4)
+
+
+def test_every_copy_of_an_eigenvalue_is_found_at_any_size(spark, monkeypatch):
+    """Four equal rings and a path: 0 five times, and the rings' values four times each."""
+    edges = [(100 * r + i, 100 * r + (i + 1) % 12) for r in range(4) for i in range(12)] + [(900 + i, 901 + i) for i in range(9)]
+    lap = L.laplacian(L.adjacency(spark.createDataFrame(edges, "u long, v long")))
+    values, _ = L.smallest_eigenpairs(lap, 11)
+    assert (abs(values[:5]) < 1e-9).all() and values[5] > 0.01
+    monkeypatch.setattr(L, "DENSE", 1)
+    again, vectors = L.smallest_eigenpairs(lap, 11)
+    assert np.allclose(values, again, atol=1e-6) and np.allclose(vectors.T @ vectors, np.eye(11), atol=1e-6)
+    assert L.eigengap_k(L.spectrum(lap, 11)).first().k == int(np.argmax(np.diff(values))) + 1
+
+
+def test_triest_of_an_empty_stream(spark):
+    got = T.run_triest(spark.createDataFrame([], "seq long, u long, v long"), [5, 9]).collect()
+    assert sorted(tuple(r) for r in got) == [(5, "base", 0, 0, 0.0), (9, "base", 0, 0, 0.0)]

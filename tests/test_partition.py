@@ -55,3 +55,26 @@ def test_config_and_cooling():
     for bad in ({"policy": "x"}, {"coloring": "x"}, {"rounds": 0}):
         with pytest.raises(ValueError):
             P.PartitionConfig(**bad)
+
+
+def test_samples_are_filled_and_ids_may_have_gaps(spark):
+    ids = spark.range(1, 9).toDF("id")
+    for size, want in ((3, 3), (6, 6), (20, 7)):
+        got = P.uniform_sample(ids, size, 8, "s").groupBy("p").agg(P.F.count_distinct("q").alias("n"), P.F.count("*").alias("m"), P.F.min("q").alias("low"), P.F.max("q").alias("high")).collect()
+        assert len(got) == 8 and all(r.n == r.m == want and 1 <= r.low and r.high <= 8 for r in got)
+    v = spark.createDataFrame([(10 * i, i % 2, i % 2) for i in range(1, 9)], "id long, color long, init_color long")
+    arcs = spark.createDataFrame([(10, 20), (20, 10)], "u long, v long")
+    j = P.Jabeja(v, arcs, P.PartitionConfig(rounds=1, partitions=2, policy="RANDOM"))
+    far = j.far_pairs(v.select("id")).collect()
+    assert len(far) == 8 * 6 and {r.q for r in far} <= {10 * i for i in range(1, 9)} and all(r.p != r.q for r in far)
+
+
+def test_hybrid_looks_far_only_where_no_neighbour_fits(spark):
+    # 1-2 would gain by a swap with each other's side; 5..8 have no neighbour to swap with
+    v = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 9)], "id long, color long, init_color long")
+    pairs = [(1, 4), (2, 3), (1, 2), (5, 7), (6, 8)]
+    arcs = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs)], "u long, v long")
+    near = P.best_partner(v, arcs, P.neighbor_sample(arcs, 3, "0|n|0"), 2.0, 2.0).collect()
+    got = P.Jabeja(v, arcs, P.PartitionConfig(partitions=2)).proposals().collect()
+    assert near and {tuple(r) for r in near} <= {tuple(r) for r in got}
+    assert len({r.p for r in got}) == len(got)  # one proposal a vertex: no far one beside a near one
