@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from oremill.functions.ship import ship
 
-from .shared import small_batches
+from .shared import small_batches, spread
 
 LENGTH = 1024
 #: Pieces that a task orders at once, and the tokens of those that keep their ids.
@@ -200,4 +200,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(pack_task(tokenizer, length, end, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return spread(texts).mapInArrow(pack_task(tokenizer, length, end, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -63,15 +63,31 @@ def binary_text(docs: DataFrame, *keep: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *keep)
+    return spread(docs.where(F.col("doc_id").isNotNull())).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *keep)
+
+
+def input_bytes(docs: DataFrame) -> int | None:
+    """Bytes of the tables that a plan reads, as Spark knows them; None where it does not (rows that Python made)."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
 
 
 def buckets(docs: DataFrame, each: int = 2 << 20, least: int = 64) -> int:
-    """How many hash buckets to deal a table's rows into: one for `each` bytes of it as Spark estimates its size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """How many hash buckets to deal a table's rows into: one for `each` bytes that it reads; where their number is not
+    known, what the session's shuffle partitions take."""
+    size = input_bytes(docs)
+    if size is None:
+        return max(least, TASK_BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(size // each, (1 << 31) - 1))
 
 
+def spread(docs: DataFrame, each: int = 2 << 20) -> DataFrame:
+    """docs, dealt out anew where a table is so small that its files leave cores without a task."""
+    cores, size = docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs)
+    return docs.repartition(cores) if size is not None and 1 << 18 < size < cores * each else docs
+
+
 #: Buckets that a task walks through where there are more than the session's shuffle partitions can take.
 TASK_BUCKETS = 16
 
