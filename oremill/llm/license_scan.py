@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stage
+from .shared import Stage, spread
 
 UNKNOWN = "unknown"
 #: Words that make a line a candidate, as they stand in lower-cased text.
@@ -209,25 +209,33 @@ def word_grams(text: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def holds(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether lower-cased text holds one of some strings; the list of one makes Spark lower it once, not for each."""
+    plain = [w for w in words if len(w) > 3 or any(x.isdigit() for x in w)]
+    short = [w for w in words if w not in plain]  # as parts of longer words they are common
+
+    def any_of(low: Column) -> Column:
+        out = F.contains(low, F.lit(plain[0]))
+        for w in plain[1:]:
+            out = out | F.contains(low, F.lit(w))
+        return out | low.rlike(rf"(?<![a-z0-9.])(?:{'|'.join(short)})(?![a-z0-9])") if short else out
+
+    return F.exists(F.array(F.lower(c)), any_of)
+
+
 def anchored(c: Column) -> Column:
-    return F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
+    return holds(c, ANCHORS)
 
 
 def gated(c: Column) -> Column:
-    low, words = F.lower(c), gate_words()
-    out = F.contains(low, F.lit(words[0]))
-    for w in words[1:]:
-        if len(w) > 3 or any(x.isdigit() for x in w):
-            out = out | F.contains(low, F.lit(w))
-    short = [w for w in words if len(w) <= 3 and not any(x.isdigit() for x in w)]  # as parts of longer words they are common
-    return out | low.rlike(rf"(?<![a-z0-9.])(?:{'|'.join(short)})(?![a-z0-9])") if short else out
+    return holds(c, gate_words())
 
 
 def candidate_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, joined, anchor): candidate lines (joined 0), two lines (1) and blocks (2)."""
     tells = F.array(*map(F.lit, telling()))
     told = lambda c: F.arrays_overlap(word_grams(c), tells)
-    d = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).where(gated(F.col("text")))
+    d = spread(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))).where(gated(F.col("text")))
     blocks = d.select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*(?=\n)")).alias("block")).where(gated(F.col("block")))
     lines = F.split("block", "\n")
     unit = lambda x, k: F.struct(x.alias("paragraph"), F.lit(k).alias("joined"))
