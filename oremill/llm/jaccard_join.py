@@ -4,7 +4,9 @@ Two sets that link share a token among the first n - ceil(t n) + 1 of each, unde
 order of all tokens.  Three orders are used, each with rare tokens first and its own ties:
 
 1. Each text gives a hashed part of its shingles (enough to fill its prefix), which are
-   counted over all texts; tokens of one text alone can match nothing and are not sent back.
+   counted over all texts; tokens of one text alone can match nothing and are not sent back.  A token of more
+   than HOT texts in some task's batch comes last in every order, whatever its count; its texts are dealt out, and
+   the token's own bucket is told so.
 2. Under each order, texts with a common prefix token hang together; a text's family is the
    triple of its groups, so texts stay together only where all orders allow it.
 3. Families are verified in blocks of bounded size: sets are compared exactly, and a block
@@ -43,6 +45,10 @@ FLUSH = 300_000
 #: Texts of a family that meet in one block.
 BLOCK = 256
 ORDERS = 3
+#: Texts of one token in a task's batch from which on they are dealt out one by one.
+HOT = 2048
+#: The kind of a row that says so, and the count that such a token passes for.
+MARK, MANY = 255, np.uint32(1 << 31)
 #: Bytes of input whose tasks' forests are merged into one.
 MERGED = 512 << 20
 
@@ -103,7 +109,7 @@ def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n + num * n // -den + 1
 
 
-def send_tokens(size: int, num: int, den: int, n_buckets: int):
+def send_tokens(size: int, num: int, den: int, n_buckets: int, most: int = HOT):
     part = np.uint64(int(min(1.0, 2 * (1 - num / den)) * (2**64 - 1)))
     least = -(-num * SHORT // den)
 
@@ -114,7 +120,11 @@ def send_tokens(size: int, num: int, den: int, n_buckets: int):
         def flush():
             t, doc, kind, base = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            tokens = ((k, packed(t[x], doc[x], kind[x])) for k, x in dealt(t, n_buckets, np.arange(len(t))))
+            values, at, times = np.unique(t, return_inverse=True, return_counts=True)
+            own = np.where(times[at] > most, A.mix(t ^ A.mix(doc.astype(np.uint64))), t)
+            hot = values[times > most]
+            t, own, doc, kind = np.concatenate([t, hot]), np.concatenate([own, hot]), np.concatenate([doc, np.zeros(len(hot), np.int64)]), np.concatenate([kind, np.full(len(hot), MARK, np.uint8)])
+            tokens = ((k, packed(t[x], doc[x], kind[x])) for k, x in dealt(own, n_buckets, np.arange(len(t))))
             return blobs(merged(tokens, ((k, x.tobytes()) for k, x in dealt(A.mix(base["doc"].astype(np.uint64)), n_buckets, base))))
 
         for batch in batches:
@@ -157,13 +167,15 @@ def count_tokens(n_buckets: int):
     """Tokens of two texts or more with their counts, dealt by text."""
 
     def run(batches):
-        for _, (body, extra) in met(batches, "body", "extra"):
+        for bucket, (body, extra) in met(batches, "body", "extra"):
             t, doc, kind = unpacked(body, ["<u8", "<i8", "u1"])
+            many = np.isin(t, t[kind == MARK]) | (t % np.uint64(n_buckets) != np.uint64(bucket))
+            t, doc, kind, many = t[kind != MARK], doc[kind != MARK], kind[kind != MARK], many[kind != MARK]
             order = np.argsort(t, kind="stable")
-            t, doc, kind = t[order], doc[order], kind[order]
+            t, doc, kind, many = t[order], doc[order], kind[order], many[order]
             head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
             size = np.diff(np.append(head, len(t)))
-            df = np.repeat(size, size)
+            df = np.where(many, MANY, np.repeat(size, size))
             keep = df > 1
             t, doc, kind, df = t[keep], doc[keep], kind[keep], df[keep].astype(np.uint32)
             base = np.frombuffer(b"".join(extra), BASE)
@@ -348,7 +360,7 @@ def block_keys(families: DataFrame, num: int, den: int, block: int) -> DataFrame
     return f.select("doc_id", F.explode(F.concat(own, above, below)).alias("key"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document, for links with Jaccard >= num / den over sets of
     `size`-word shingles."""
     if not 0 < num <= den:
@@ -356,7 +368,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     stage, n = Stage(spark), buckets(docs)
     texts = binary_text(docs)
-    sent = meet(texts.mapInArrow(send_tokens(size, num, den, n), BLOB_SCHEMA), n)
+    sent = meet(texts.mapInArrow(send_tokens(size, num, den, n, hot), BLOB_SCHEMA), n)
     counted = stage.write(sent.mapInArrow(count_tokens(n), BLOB_SCHEMA))
     base = counted.where("length(extra) > 0").select("extra").mapInArrow(base_rows, "doc_id long, n int, h1 long, h2 long, to long, lead boolean")
     prefixes = meet(meet(counted, n).mapInArrow(send_prefixes(num, den, n), BLOB_SCHEMA), n)

@@ -75,3 +75,12 @@ def test_clashing_columns_and_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[5000:])), (3, " ".join(words[:9]))]
     f = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, key string")
     assert {tuple(x) for x in jaccard_components(f, 3, 90, 100).collect()} == {(1, 299_998, 1), (2, 294_998, 1), (3, 7, 3)}
+
+
+def test_tokens_of_very_many_texts(spark):
+    rows = corpus(6, 300)
+    common = " ".join(f"common{k}" for k in range(30))
+    rows += [(10_000 + i, f"{common} own{i} text{i} here{i // 2}") for i in range(200)] + [(20_000 + i, f"{common} " + " ".join(f"t{i // 3}x{j}" for j in range(120))) for i in range(60)]
+    f = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size, num, hot in ((3, 90, 3), (2, 75, 20)):
+        assert {tuple(x) for x in jaccard_components(f, size, num, 100, 64, hot).collect()} == brute(rows, size, num, 100)
