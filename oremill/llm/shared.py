@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oremill.functions.saved import shared_folder
 from oremill.functions.ship import ship
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode only, one of our own where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="oremill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Stage:
     """Written tables of one run: each cuts the lineage, and a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/oremill-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/oremill-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
