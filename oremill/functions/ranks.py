@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .saved import saved
 
 
-def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
     """df with the 0-based position of each row in `order` (which must be total, for a fixed result).
 
     Rows are range-partitioned and numbered inside; a table with a row for each partition gives

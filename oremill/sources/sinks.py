@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oremill.functions.ranks import positions
+
 
 def itemset_lines(itemsets: DataFrame) -> DataFrame:
     """(k, rank, line): within each size by falling support, then the itemset."""
@@ -17,10 +19,10 @@ def itemset_lines(itemsets: DataFrame) -> DataFrame:
 
 def rule_lines(rules: DataFrame, fractional: bool = False) -> DataFrame:
     """(rank, line) in the order of confidence, support, sides."""
-    rank = F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc("support"), "lhs", "rhs"))
+    rules = positions(rules, F.desc("confidence"), F.desc("support"), F.col("lhs"), F.col("rhs"))
     l, r = F.array_join(F.array_sort("lhs"), ", "), F.array_join(F.array_sort("rhs"), ", ")
     line = F.format_string("{%s} -> {%s} support: %.3f, conf: %.3f", l, r, "support", "confidence") if fractional else F.format_string("{%s} -> {%s} support: %d, confidence: %.4f", l, r, "support", "confidence")
-    return rules.select(rank.alias("rank"), line.alias("line"))
+    return rules.select((F.col("pos") + 1).alias("rank"), line.alias("line"))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
