@@ -9,7 +9,8 @@ order of all tokens.  Three orders are used, each with rare tokens first and its
    the token's own bucket is told so.
 2. Under each order, texts with a common prefix token hang together; a text's family is the
    triple of its groups, so texts stay together only where all orders allow it.
-3. Families are verified in blocks of bounded size: sets are compared exactly, and a block
+3. Families are verified in blocks of bounded size.  In a block the orders (rarity counted there) are asked again for each
+   pair, and sets that share a prefix token under all of them are compared exactly.  A block
    hands on a spanning forest of its links, never its pairs.
 4. Components of the links between different sets, with texts of equal sets hung on them, are the result.  Of
    equal sets a task sends one (its lead); the others follow their task's lead and never meet.
@@ -303,26 +304,47 @@ def send_sets(size: int, n_buckets: int):
     return run
 
 
-def links_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with den * intersection >= num * union, as index arrays."""
-    n = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), n)
-    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = df[at] > 1
-    row = row[keep]
-    _, at = np.unique(at[keep], return_inverse=True)
-    both = np.zeros((len(sets), len(sets)), np.float32)
+def shared_tokens(row: np.ndarray, at: np.ndarray, n_rows: int) -> np.ndarray:
+    """How many tokens each two rows share, of (row, token) entries; a slice of tokens at once."""
+    both = np.zeros((n_rows, n_rows), np.float32)
+    _, at = np.unique(at, return_inverse=True)
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
     total = int(at[-1]) + 1 if len(at) else 0
-    wide = max(64, (1 << 23) // max(1, len(sets)) // 4)
+    wide = max(64, (1 << 23) // max(1, n_rows) // 4)
     for lo in range(0, total, wide):
         i, j = np.searchsorted(at, (lo, lo + wide))
-        m = np.zeros((len(sets), min(wide, total - lo)), np.float32)
+        m = np.zeros((n_rows, min(wide, total - lo)), np.float32)
         m[row[i:j], at[i:j] - lo] = 1
         both += m @ m.T
-    inter = both.astype(np.int64)
-    return np.nonzero(np.triu(den * inter >= num * (n[:, None] + n[None, :] - inter), 1))
+    return both.astype(np.int64)
+
+
+def links_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with den * intersection >= num * union, as index arrays.  Only pairs whose lengths allow it and
+    that share a prefix token under each of the orders are compared."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    values, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[at] > 1
+    row, at = row[keep], at[keep]
+    left = np.bincount(row, minlength=len(sets))
+    need = prefix(n.astype(np.int64), num, den) - (n - left)  # tokens of one set come first in every order
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(left) - left, left)
+    near = np.triu(den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]), 1)
+    for o in range(ORDERS):
+        rough, fine = order_key(o, values, df.astype(np.uint32))
+        place = np.empty(len(values), np.int64)
+        place[np.lexsort((fine, rough))] = np.arange(len(values))
+        first = np.sort(row * len(values) + place[at])[rank < need[row]]  # rows stay where they were
+        near &= shared_tokens(first // max(1, len(values)), first % max(1, len(values)), len(sets)) > 0
+        if not near.any():
+            break
+    some = np.flatnonzero(near.any(0) | near.any(1))
+    keep = np.isin(row, some)
+    inter = shared_tokens(np.searchsorted(some, row[keep]), at[keep], len(some))
+    i, j = np.nonzero(near[np.ix_(some, some)] & (den * inter >= num * (n[some][:, None] + n[some][None, :] - inter)))
+    return some[i], some[j]
 
 
 def verify_blocks(num: int, den: int):

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from oremill.llm import jaccard_join as J
 from oremill.llm.jaccard_join import jaccard_components
 
 from .test_components import roots
@@ -84,3 +87,24 @@ def test_tokens_of_very_many_texts(spark):
     f = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for size, num, hot in ((3, 90, 3), (2, 75, 20)):
         assert {tuple(x) for x in jaccard_components(f, size, num, 100, 64, hot).collect()} == brute(rows, size, num, 100)
+
+
+def test_pairs_of_a_block_match_brute_force():
+    rng, found = np.random.default_rng(7), 0
+    for num, den in [(80, 100), (90, 100), (1, 3), (1, 1)] * 40:
+        pool = [rng.choice(60, rng.integers(1, 40), replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(rng.integers(1, 40)):
+            base = pool[rng.integers(4)]
+            s = set(base[: rng.integers(1, len(base) + 1)].tolist()) | set(rng.integers(60, 90, rng.integers(0, 3)).tolist())
+            sets.append(np.array(sorted(s), np.uint64))
+        i, j = J.links_of(sets, num, den)
+        want = set()
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+                if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                    want.add((a, b))
+        assert set(zip(i.tolist(), j.tolist())) == want
+        found += len(want)
+    assert found > 1000
