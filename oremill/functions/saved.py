@@ -24,8 +24,8 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/oremill-saved/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written once and read back: a lost executor costs a read, not the loop so far."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written once and read back: a lost executor costs a read, not the loop so far.  by: a folder for each of its values."""
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .edge_blocks import EdgeBlocks
 from oremill.functions.saved import saved
 
 
@@ -44,5 +45,13 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedges.join(closing, ["b", "c"]).select(F.col("s").alias("a"), "b", "c")
 
 
+def whole(edges: DataFrame) -> bool:
+    """Whether the nodes are whole numbers, which edge blocks hold."""
+    return all(dict(edges.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") for c in ("u", "v"))
+
+
 def triangle_count(edges: DataFrame) -> DataFrame:
+    """(triangles) of a table of edges in any form, counted between blocks; where nodes are no whole numbers, by joins."""
+    if whole(edges):
+        return EdgeBlocks(edges).triangle_count()
     return triangles(saved(simple(edges))).agg(F.count("*").alias("triangles"))

@@ -403,11 +403,16 @@ def source_partition_labels(spark, sf):
 # --- graphs and streams -------------------------------------------------------------------------
 
 
+def order_pairs(spark, sf):
+    """(u, v): parts that stand in one order, a pair once for each such order."""
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey is not null").repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    first = x.select("p", F.posexplode("p").alias("at", "u"))
+    return first.select("u", F.explode(F.slice("p", F.col("at") + 2, F.greatest(F.size("p") - F.col("at") - 1, F.lit(0)))).alias("v"))
+
+
 def part_pairs(spark, sf):
     """(u, v): parts that stand in one order, each pair once."""
-    x = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
-    first = x.select("p", F.posexplode("p").alias("at", "u"))
-    return first.select("u", F.explode(F.slice("p", F.col("at") + 2, F.greatest(F.size("p") - F.col("at") - 1, F.lit(0)))).alias("v")).distinct()
+    return order_pairs(spark, sf).distinct()
 
 
 _PAIRS = "pp AS (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
@@ -422,7 +427,7 @@ def edges_canonical(spark, sf):
 
 @query(f"WITH {_PAIRS}, {_TRIANGLES} SELECT n AS triangles FROM tri")
 def triangles_exact(spark, sf):
-    return G.triangle_count(part_pairs(spark, sf))
+    return G.triangle_count(order_pairs(spark, sf))
 
 
 _ORDER = "md5('0|' || u || '|' || v)"

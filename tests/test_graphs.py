@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from oremill.operators import edge_blocks as E
 from oremill.operators import graph as G
 from oremill.operators import spectral as L
 from oremill.operators import triest as T
@@ -33,6 +34,31 @@ def test_triangles(spark):
     assert G.triangle_count(frame(spark, [])).first().triangles == 0
 
 
+def test_triangles_between_blocks(spark, monkeypatch):
+    """Hubs, ids of any size, both directions, loops and nulls; no path of two edges becomes a row."""
+    r = random.Random(4)
+    far = [r.randrange(-(2**62), 2**62) for _ in range(90)]
+    edges = [(r.choice(far), r.choice(far)) for _ in range(1500)] + [(min(far), x) for x in far] + [(x, sorted(far)[1]) for x in far]
+    truth = count(edges)
+    frames = frame(spark, edges).unionByName(spark.createDataFrame([(0, None, far[0]), (1, far[0], None)], "seq long, u long, v long"))
+    monkeypatch.setattr(G, "triangles", None)
+    assert G.triangle_count(frames).first().triangles == truth
+    blocks = E.EdgeBlocks(frames)
+    n = len({tuple(sorted(x)) for x in edges if x[0] != x[1]})
+    assert blocks.size == n == blocks.rows().distinct().count() and set(sorted(far)[:2]) <= set(blocks.hubs(60))
+    assert blocks.triangle_count(above=20, block=100).first().triangles == truth
+    u, v = (np.array(x) for x in zip(*sorted({tuple(sorted(x)) for x in edges if x[0] != x[1]})))
+    monkeypatch.setattr(E, "WORDS", 7)
+    half = [E.Block.build(u[p], v[p]) for p in (u % 2 == 0, u % 2 == 1)]
+    assert sum(E.First.read(x).triangles_with(E.Block.read(y)) for x in half for y in half) == truth
+    with pytest.raises(ValueError):
+        E.Block.read(half[0][:-8])
+
+
+def test_triangles_of_named_nodes(spark):
+    assert G.triangle_count(spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "c"), ("c", "d")], "u string, v string")).first().triangles == 1
+
+
 def test_exact_regime_and_quirks(spark):
     edges = ring(60, 4)
     for variant in ("base", "impr"):
