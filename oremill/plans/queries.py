@@ -20,6 +20,7 @@ from oremill.operators import partition as P
 from oremill.operators import similarity as S
 from oremill.operators import spectral as L
 from oremill.operators import triest as T
+from oremill.operators.edge_blocks import EdgeBlocks
 from oremill.sources import readers as R
 from oremill.sources import sinks as K
 
@@ -449,15 +450,15 @@ def _sampled(m: int) -> str:
 
 @query(f"WITH {_PAIRS}, {_sampled(5000)} SELECT m, t, sample_size, round(estimate, 3) AS estimate FROM e5000")
 def triest_base_sampled(spark, sf):
-    x = T.sampled_estimate(part_pairs(spark, sf), 5000)
+    x = T.sampled_estimate(order_pairs(spark, sf), 5000)
     return x.select("m", "t", "sample_size", F.round("estimate", 3).alias("estimate"))
 
 
 @query(f"WITH {_PAIRS}, {_TRIANGLES}, {_sampled(5000)}, {_sampled(20000)}, e AS (SELECT * FROM e5000 UNION ALL SELECT * FROM e20000) SELECT m, round(estimate, 3) AS estimate, round(abs(estimate - n) / n, 6) AS rel_error FROM e, tri")
 def triest_rel_error(spark, sf):
-    e = S.saved(G.simple(part_pairs(spark, sf)))
-    x = T.sampled_estimate(e, 5000).unionByName(T.sampled_estimate(e, 20000))
-    return T.relative_error(x, G.triangle_count(e)).select("m", F.round("estimate", 3).alias("estimate"), F.round("rel_error", 6).alias("rel_error"))
+    e = EdgeBlocks(order_pairs(spark, sf))
+    x = T.sampled_estimates(e.rows(), e.size, [5000, 20000])
+    return T.relative_error(x, e.triangle_count()).select("m", F.round("estimate", 3).alias("estimate"), F.round("rel_error", 6).alias("rel_error"))
 
 
 def supplier_edges(spark, sf):

@@ -87,6 +87,21 @@ def test_estimates_are_near_the_truth(spark):
     assert T.sampled_estimate(e, 10**6).first().estimate == truth
 
 
+def test_samples_of_edge_blocks(spark, monkeypatch):
+    """Several samples from edges that are made distinct and ordered once, without joins of rows."""
+    edges = frame(spark, ring(200, 5) * 2)
+    want = []
+    for m in (300, 700, 5000):
+        few = sorted((tuple(r) for r in T.bottom_sample(G.simple(edges), m).collect()))
+        want.append((m, 1000, min(m, 1000), max(1.0, 1000.0 * 999 * 998 / (float(m) * (m - 1) * (m - 2))) * count(few)))
+    for name in ("simple", "triangles"):
+        monkeypatch.setattr(G, name, None)
+    monkeypatch.setattr(T, "simple", None)
+    blocks = E.EdgeBlocks(edges)
+    assert [tuple(r) for r in T.sampled_estimates(blocks.rows(), blocks.size, [700, 5000, 300]).orderBy("m").collect()] == want
+    assert tuple(T.sampled_estimate(edges, 700).first()) == want[1]
+
+
 def test_reservoir():
     x = T.Reservoir(5, 1)
     for i in range(100):
