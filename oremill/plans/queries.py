@@ -464,7 +464,8 @@ def triest_rel_error(spark, sf):
 def supplier_edges(spark, sf):
     """(seq, u, v): suppliers of one nation, as a stream by (u, v)."""
     p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("u"), "s_nationkey")
-    e = p.join(p.select(F.col("u").alias("v"), "s_nationkey"), "s_nationkey").where("u < v").select("u", "v")
+    # a small table makes many pairs: its rows are dealt out so that more than one task makes them
+    e = p.repartition(4 * spark.sparkContext.defaultParallelism).join(p.select(F.col("u").alias("v"), "s_nationkey"), "s_nationkey").where("u < v").select("u", "v")
     return e.withColumn("seq", F.col("u") * 1_000_000 + F.col("v"))
 
 

@@ -87,6 +87,27 @@ def test_estimates_are_near_the_truth(spark):
     assert T.sampled_estimate(e, 10**6).first().estimate == truth
 
 
+def test_streams_that_fill_no_sample_are_counted_over_all_tasks(spark, monkeypatch):
+    r = random.Random(8)
+    plain = ring(60, 4)
+    again = [(r.randrange(30), r.randrange(30)) for _ in range(500)]
+    for edges, in_order in ((plain, []), (again, ["impr"])):
+        r.shuffle(edges)
+        for variant in ("base", "impr"):
+            want = []
+            for m in (40, 500, 10**9):
+                x = T.Triest(m, variant, 3).extend(edges)
+                want.append((m, variant, x.t, x.sample_size, x.estimate()))
+            assert sorted(tuple(x) for x in T.run_triest(frame(spark, edges), [40, 500, 10**9], variant, 3).collect()) == want
+            with monkeypatch.context() as no:
+                if variant not in in_order:
+                    no.setattr(T, "_in_order", None)
+                got = T.run_triest(frame(spark, edges), [10**9], variant, 3).collect()
+            assert [tuple(x) for x in got] == want[-1:]
+    with pytest.raises(ValueError):
+        T.run_triest(frame(spark, plain), [0])
+
+
 def test_samples_of_edge_blocks(spark, monkeypatch):
     """Several samples from edges that are made distinct and ordered once, without joins of rows."""
     edges = frame(spark, ring(200, 5) * 2)
